@@ -235,7 +235,8 @@ judged AS (SELECT *, 'Rewritten: ' || template_reply AS cand FROM answered)"""
 
 # kind 0-2 carry a good object, 3 another SLA, 4 an array, 5 an empty object, 6 a blank reply, 7 no JSON, 8 a failure.
 POLISH = f"""{DRAFTED}, {ANSWERS},
-verdict AS (SELECT *, {sla('urgency')} AS h, has_answer AND language <> 'other' AND kind <= 2 AND {mentions('cand', f"CAST({sla('urgency')} AS VARCHAR)")} AS used FROM judged)
+verdict AS (SELECT *, {sla('urgency')} AS h, has_answer AND language <> 'other' AND kind <= 2 AND CASE {sla('urgency')} WHEN 1 THEN {mentions('cand', "'1'")} WHEN 4 THEN {mentions('cand', "'4'")}
+    WHEN 24 THEN {mentions('cand', "'24'")} ELSE {mentions('cand', "'72'")} END AS used FROM judged)
 SELECT id, CASE WHEN used THEN {strip('cand')} ELSE template_reply END AS suggested_reply,
   CASE WHEN used THEN 'sklearn+llm:groq' ELSE 'sklearn' END AS source,
   CASE WHEN language = 'other' OR NOT has_answer THEN 'none' ELSE 'groq' END AS llm_backend,

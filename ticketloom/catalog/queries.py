@@ -23,6 +23,7 @@ from ticketloom.operators import evaluate, inbox, kpi, overrides, replies, split
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.keywords import keyword_department, keyword_hits
 from ticketloom.operators.similar import similar_tickets
+from ticketloom.session import cut_lineage
 from ticketloom.taxonomy import DEPARTMENT_KEYWORDS, TAXONOMY
 
 
@@ -236,28 +237,30 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_sizes(split.stratified_split(tables.tickets(spark, sf_dir).select("id", "department")))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold labels with the keyword department and an urgency guess that is wrong for some rows."""
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold labels against the keyword department and an urgency guess that is wrong for some rows."""
     guess = F.when(F.pmod("id", F.lit(10)) == 0, "P3").otherwise(F.col("urgency"))
-    rows = split.stratified_split(tables.labelled(spark, sf_dir))
-    return rows.withColumns({"pred_dept": keyword_department(F.col("norm")), "pred_urg": guess})
+    rows = split.stratified_split(tables.tickets(spark, sf_dir))
+    rows = rows.withColumns({"pred_dept": keyword_department(normalize(F.col("text"))), "pred_urg": guess})
+    counts = evaluate.tally(rows, "split", "language", "department", "pred_dept", "urgency", "pred_urg")
+    return cut_lineage(counts)
 
 
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evaluated(spark, sf_dir)
-    dept = evaluate.classification_report(rows, "department", "pred_dept", evaluate.label_dim(spark, TAXONOMY.routeable))
-    urg = evaluate.classification_report(rows, "urgency", "pred_urg", evaluate.label_dim(spark, ("P1", "P2", "P4")))
+    counts = _tally(spark, sf_dir)
+    dept = evaluate.classification_report(counts, "department", "pred_dept", TAXONOMY.routeable)
+    urg = evaluate.classification_report(counts, "urgency", "pred_urg", ("P1", "P2", "P4"))
     both = dept.withColumn("target", F.lit("department")).unionByName(urg.withColumn("target", F.lit("urgency")))
     return both.withColumn("value", F.round("value", 6))
 
 
 def recall_and_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evaluated(spark, sf_dir)
-    slices = evaluate.language_slices(rows).select(
+    counts = _tally(spark, sf_dir)
+    slices = evaluate.language_slices(counts).select(
         "split", "language", "n", F.round("department_acc", 6).alias("department_acc"), F.round("urgency_acc", 6).alias("urgency_acc")
     )
-    recall = evaluate.p1_recall(rows).withColumn("p1_recall", F.round("p1_recall", 6))
-    base = evaluate.accuracy(rows, "department", "pred_dept", "kw_acc").withColumn("kw_acc", F.round("kw_acc", 6))
+    recall = evaluate.p1_recall(counts).withColumn("p1_recall", F.round("p1_recall", 6))
+    base = evaluate.accuracy(counts, "department", "pred_dept", "kw_acc").withColumn("kw_acc", F.round("kw_acc", 6))
     return slices.join(F.broadcast(recall), "split").join(F.broadcast(base), "split")
 
 
@@ -269,7 +272,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("string").alias("gold"),
         (F.col("n_chars") > 1000).cast("int").cast("string").alias("pred"),
     )
-    report = evaluate.classification_report(rows, "gold", "pred", evaluate.label_dim(spark, ("0", "1")))
+    report = evaluate.classification_report(evaluate.tally(rows, "split", "gold", "pred"), "gold", "pred", ("0", "1"))
     return report.withColumn("value", F.round("value", 6))
 
 

@@ -1,135 +1,130 @@
 """Classification reports, recall and accuracy slices from predictions and gold labels.
 
-Each report aggregates the rows once into a confusion table (labels x labels, a fixed size) and
-derives every score from that.
+The predictions are counted once per combination of split, language and labels. That tally has a
+fixed number of rows (labels x labels), and every score is derived from it without a further join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPORT_SCHEMA = "split string, class string, metric string, value double"
+METRICS = ["precision", "recall", "f1"]
 
 
-def confusion(df: DataFrame, gold: str, predicted: str, by: str = "split") -> DataFrame:
-    return df.groupBy(F.col(by), F.col(gold).alias("gold"), F.col(predicted).alias("pred")).agg(
-        F.count("*").alias("n")
-    )
+def tally(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows per combination of the given label columns, as ``n``."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+
+
+def class_scores(counts: DataFrame, gold: str, predicted: str, labels, by: str = "split") -> DataFrame:
+    """Per split and class: support, predicted, tp and the scores. A zero denominator gives 0.
+
+    Every listed label gets a row even if it never occurs; other classes seen in the data are kept
+    with ``listed`` false.
+    """
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
 
+    def cell(name, support, guessed, tp):
+        return F.struct(name.alias("class"), support.alias("support"), guessed.alias("predicted"), tp.alias("tp"))
 
-def class_scores(conf: DataFrame, labels: DataFrame, by: str = "split") -> DataFrame:
-    """Per split and label: precision, recall, f1, support. A zero denominator gives 0."""
-    gold = conf.groupBy(by, F.col("gold").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp")
+    hit = F.when(F.col(gold) == F.col(predicted), n).otherwise(zero)
+    cells = F.array(
+        cell(F.col(gold), n, zero, hit),
+        cell(F.col(predicted), zero, n, zero),
+        *[cell(F.lit(label), zero, zero, zero) for label in labels],
     )
-    guess = conf.groupBy(by, F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    # Splits x labels: both sides are fixed small dimensions.
-    frame = conf.select(by).distinct().join(F.broadcast(labels.select("class")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    precision = F.coalesce(F.try_divide(zero(F.col("tp")), F.col("predicted")), F.lit(0.0))
-    recall = F.coalesce(F.try_divide(zero(F.col("tp")), F.col("support")), F.lit(0.0))
-    f1 = F.coalesce(
-        F.try_divide(2.0 * zero(F.col("tp")), zero(F.col("support")) + zero(F.col("predicted"))), F.lit(0.0)
+    pairs = counts.groupBy(by, gold, predicted).agg(F.sum("n").alias("n"))
+    totals = pairs.select(by, F.inline(cells)).groupBy(by, "class").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]
     )
-    return (
-        frame.join(gold, [by, "class"], "left")
-        .join(guess, [by, "class"], "left")
-        .select(
-            by,
-            "class",
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            zero(F.col("support")).alias("support"),
-            zero(F.col("tp")).alias("tp"),
-            zero(F.col("predicted")).alias("predicted"),
-        )
+    return totals.withColumns(
+        {
+            "precision": _ratio(F.col("tp"), F.col("predicted")),
+            "recall": _ratio(F.col("tp"), F.col("support")),
+            "f1": _ratio(2.0 * F.col("tp"), F.col("support") + F.col("predicted")),
+            "listed": F.coalesce(F.col("class").isin(*labels), F.lit(False)),
+        }
     )
 
 
-def classification_report(
-    df: DataFrame, gold: str, predicted: str, labels: DataFrame, by: str = "split"
-) -> DataFrame:
+def classification_report(counts: DataFrame, gold: str, predicted: str, labels, by: str = "split") -> DataFrame:
     """Long table (split, class, metric, value) with per-class rows and the averages.
 
     ``accuracy`` appears when the labels cover everything seen in gold and prediction; otherwise
     the report has a ``micro avg`` over the listed labels in its place.
     """
-    conf = confusion(df, gold, predicted, by)
-    scores = class_scores(conf, labels, by)
-    known = F.broadcast(labels.select(F.col("class").alias("_c")))
-    seen = conf.select(by, F.explode(F.array("gold", "pred")).alias("_c")).distinct()
-    uncovered = seen.join(known, "_c", "left_anti").select(by).distinct().withColumn("_open", F.lit(True))
-    correct = conf.groupBy(by).agg(
-        F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("_ok"), F.sum("n").alias("_all")
-    )
-    metrics = ["precision", "recall", "f1"]
-    div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    weighted = [div(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"w_{m}") for m in metrics]
-    totals = scores.groupBy(by).agg(
-        *[F.avg(m).alias(f"m_{m}") for m in metrics],
-        *weighted,
-        F.sum("support").alias("support"),
-        F.sum("tp").alias("tp"),
-        F.sum("predicted").alias("predicted"),
+    scores = class_scores(counts, gold, predicted, labels, by)
+    listed = F.col("listed")
+    only = lambda c: F.when(listed, c)
+    per_split = scores.groupBy(by).agg(
+        F.collect_list(only(F.struct("class", *METRICS, "support"))).alias("classes"),
+        *[F.avg(only(F.col(m))).alias(f"macro_{m}") for m in METRICS],
+        *[F.sum(only(F.col(m) * F.col("support"))).alias(f"sum_{m}") for m in METRICS],
+        *[F.sum(only(F.col(c))).alias(c) for c in ("support", "predicted", "tp")],
+        F.sum("tp").alias("correct"),
+        F.sum("support").alias("seen"),
+        F.bool_or(~listed).alias("open"),
     )
-    totals = totals.join(correct, by).join(uncovered, by, "left")
 
-    def cell(name, metric, value):
+    def row(name, metric, value):
         return F.struct(F.lit(name).alias("class"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
 
-    support = F.col("support")
+    support, guessed, tp = F.col("support"), F.col("predicted"), F.col("tp")
     micro = [
-        cell("micro avg", "precision", div(F.col("tp"), F.col("predicted"))),
-        cell("micro avg", "recall", div(F.col("tp"), support)),
-        cell("micro avg", "f1", div(2.0 * F.col("tp"), F.col("predicted") + support)),
-        cell("micro avg", "support", support),
+        row("micro avg", "precision", _ratio(tp, guessed)),
+        row("micro avg", "recall", _ratio(tp, support)),
+        row("micro avg", "f1", _ratio(2.0 * tp, guessed + support)),
+        row("micro avg", "support", support),
     ]
-    accuracy = [cell("accuracy", "accuracy", div(F.col("_ok"), F.col("_all")))]
-    averages = [
-        cell(name, m, F.col(f"{p}_{m}")) for name, p in (("macro avg", "m"), ("weighted avg", "w")) for m in metrics
-    ] + [cell(name, "support", support) for name in ("macro avg", "weighted avg")]
-    summary = F.concat(
-        F.array(*averages), F.when(F.col("_open"), F.array(*micro)).otherwise(F.array(*accuracy))
-    )
-    per_class = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in [*metrics, "support"]
-        ]
+    averages = [row("macro avg", m, F.col(f"macro_{m}")) for m in METRICS]
+    averages += [row("weighted avg", m, _ratio(F.col(f"sum_{m}"), support)) for m in METRICS]
+    averages += [row(name, "support", support) for name in ("macro avg", "weighted avg")]
+    overall = F.array(row("accuracy", "accuracy", _ratio(F.col("correct"), F.col("seen"))))
+    per_class = F.flatten(
+        F.transform(
+            "classes",
+            lambda c: F.array(
+                *[
+                    F.struct(c["class"].alias("class"), F.lit(m).alias("metric"), c[m].cast("double").alias("value"))
+                    for m in [*METRICS, "support"]
+                ]
+            ),
+        )
     )
-    return scores.select(by, "class", F.inline(per_class)).unionByName(totals.select(by, F.inline(summary)))
+    everything = F.concat(per_class, F.array(*averages), F.when(F.col("open"), F.array(*micro)).otherwise(overall))
+    return per_split.select(by, F.inline(everything))
 
 
-def label_dim(spark: SparkSession, labels) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in labels], "class string")
+def _share(condition: Column) -> Column:
+    """Share of rows (weighted by ``n``) that meet the condition."""
+    return F.try_divide(F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("double"), F.sum("n"))
 
 
-def p1_recall(df: DataFrame, gold: str = "urgency", predicted: str = "pred_urg", by: str = "split") -> DataFrame:
+def p1_recall(counts: DataFrame, gold: str = "urgency", predicted: str = "pred_urg", by: str = "split") -> DataFrame:
     """Recall of P1; NULL where a split has no P1 gold."""
-    is_p1 = F.col(gold) == "P1"
-    hit = F.count_if(is_p1 & (F.col(predicted) == "P1"))
-    return df.groupBy(by).agg(F.try_divide(hit.cast("double"), F.count_if(is_p1)).alias("p1_recall"))
-
-
-def _share(condition):
-    return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
+    p1 = F.sum(F.when(F.col(gold) == "P1", F.col("n")))
+    hit = F.sum(F.when((F.col(gold) == "P1") & (F.col(predicted) == "P1"), F.col("n")).otherwise(0))
+    return counts.groupBy(by).agg(F.try_divide(hit.cast("double"), p1).alias("p1_recall"))
 
 
-def language_slices(df: DataFrame, by: str = "split") -> DataFrame:
+def language_slices(counts: DataFrame, by: str = "split") -> DataFrame:
     """Accuracy of both targets by gold language."""
-    return df.groupBy(by, "language").agg(
-        F.count("*").alias("n"),
+    return counts.groupBy(by, "language").agg(
+        F.sum("n").alias("n"),
         _share(F.col("department") == F.col("pred_dept")).alias("department_acc"),
         _share(F.col("urgency") == F.col("pred_urg")).alias("urgency_acc"),
     )
 
 
-def accuracy(df: DataFrame, gold: str, predicted: str, name: str, by: str = "split") -> DataFrame:
-    return df.groupBy(by).agg(_share(F.col(gold) == F.col(predicted)).alias(name))
+def accuracy(counts: DataFrame, gold: str, predicted: str, name: str, by: str = "split") -> DataFrame:
+    return counts.groupBy(by).agg(_share(F.col(gold) == F.col(predicted)).alias(name))
 
 
 def label_pairs(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """How often each gold label got each predicted label."""
-    return df.groupBy(F.col(gold).alias("gold"), F.col(predicted).alias("pred")).agg(F.count("*").alias("n"))
+    return tally(df.select(F.col(gold).alias("gold"), F.col(predicted).alias("pred")), "gold", "pred")

@@ -89,7 +89,8 @@ def audit_log(
         "_block",
         F.lag("_end").over(Window.partitionBy("ticket_id").orderBy("_block")).alias("_carry"),
     )
-    before = F.coalesce(F.col("_prev"), F.col("_carry"), F.struct(F.col("_dept"), F.col("_urg")))
+    original_labels = F.struct(F.col("_dept").alias("override_dept"), F.col("_urg").alias("override_urg"))
+    before = F.coalesce(F.col("_prev"), F.col("_carry"), original_labels)
     return (
         log.withColumn("_prev", F.lag(after).over(in_block))
         .join(carry, ["ticket_id", "_block"])
