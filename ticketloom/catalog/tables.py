@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import detect_language, normalize
 from ticketloom.operators.inbox import insert_defaults
+from ticketloom.session import spread
 from ticketloom.sources.synthetic import event_tickets
 from ticketloom.taxonomy import TAXONOMY
 
@@ -19,11 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_tickets(read(spark, sf_dir, "events"))
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return event_tickets(spread(events, "event_id"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for heavy per-row work on a small input.
+
+    A scan with fewer partitions than cores is at most a few splits, so hashing it by ``key`` is
+    cheap; a scan that already fills the cluster is returned unchanged and is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
