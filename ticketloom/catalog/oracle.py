@@ -343,6 +343,25 @@ SELECT id, 'language=' || language || chr(10) || 'department=' || department ||
   || 'SLA_HOURS=' || {sla('urgency')} || chr(10) || chr(10) || 'Ticket:' || chr(10) || {strip('text')} || chr(10) || chr(10)
   || 'Template (keep SLA ' || {sla('urgency')} || '):' || chr(10) || template_reply AS prompt
 FROM drafted WHERE language <> 'other'""",
+        "q22_stream_equals_batch": f"""WITH {TICKETS_NORMED}
+SELECT row_number() OVER (ORDER BY created_at, CAST(id AS VARCHAR)) AS id, CAST(id AS VARCHAR) AS ext_id, text, channel,
+  {language('text')} AS language, {keyword('norm')} AS department, urgency, {sla('urgency')} AS sla_hours, 'open' AS status,
+  created_at + {hours(sla('urgency'))} AS due_at FROM normed""",
+        "q22b_stream_daily_counts": f"""WITH {TICKETS}
+SELECT date_trunc('day', created_at)::TIMESTAMP AS window_start, department, count(*) AS n FROM tickets GROUP BY 1, 2""",
+        "q25_csv_round_trip": f"""WITH {TICKETS}
+SELECT 'T' || id AS id, text, department, urgency, language, channel, date_trunc('second', created_at)::TIMESTAMP AS timestamp FROM tickets""",
+        "q26_store_round_trip": f"""WITH {TICKETS_NORMED},
+inbox AS (SELECT id, id + 1 AS tid, created_at, {keyword('norm')} AS department, urgency, 'open' AS status FROM normed),
+{CORRECTIONS.replace("accepted AS", "acc0 AS")},
+phased AS (SELECT *, ts >= TIMESTAMP '2024-01-16' AS late FROM acc0),
+accepted AS (SELECT * EXCLUDE (id, late), row_number() OVER (ORDER BY late, id) AS id FROM phased), {AUDIT},
+lasts AS (SELECT ticket_id, count(*) AS n_overrides, arg_max(pred_dept, id) AS replaced_dept, max(id) AS last_override,
+  arg_max(override_dept, id) AS od, arg_max(override_urg, id) AS ou FROM audit GROUP BY ticket_id)
+SELECT i.tid AS id, CAST(i.id AS VARCHAR) AS ext_id, coalesce(od, i.department) AS department, coalesce(ou, i.urgency) AS urgency,
+  {sla('coalesce(ou, i.urgency)')} AS sla_hours, CASE WHEN l.ticket_id IS NULL THEN 'open' ELSE 'overridden' END AS status,
+  i.created_at + {hours(sla('coalesce(ou, i.urgency)'))} AS due_at, coalesce(n_overrides, 0) AS n_overrides, replaced_dept, last_override
+FROM inbox i LEFT JOIN lasts l ON l.ticket_id = i.id""",
         "q23_sequential_ids": "SELECT event_id, ts, 1000000 + row_number() OVER (ORDER BY ts, event_id) AS ticket_id FROM events",
         "q24_taxonomy_usage": f"""WITH {TICKETS},
 dim AS (SELECT unnest({lst(TAXONOMY.departments)}) AS department, unnest(range(7)) AS ord)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,13 @@ from ticketloom.operators import evaluate, inbox, kpi, overrides, replies, split
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.keywords import keyword_department, keyword_hits
 from ticketloom.operators.similar import similar_tickets
-from ticketloom.session import cut_lineage
+from ticketloom.plans.routing import route
+from ticketloom.plans.training import train
+from ticketloom.session import cut_lineage, shared_dir
+from ticketloom.sources.files import read_labelled_csv, write_csv
+from ticketloom.sources.store import TicketStore
+from ticketloom.sources.synthetic import event_tickets
+from ticketloom.streaming.arrivals import department_counts, publish_counts, store_arrivals
 from ticketloom.taxonomy import DEPARTMENT_KEYWORDS, TAXONOMY
 
 
@@ -314,3 +322,88 @@ def taxonomy_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.join(counts, "department", "left").select(
         "department", "ord", "routeable", F.coalesce("n", F.lit(0)).alias("n")
     )
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the labelled tickets, then route every ticket with similar past ones."""
+    labelled = tables.tickets(spark, sf_dir)
+    model, _ = train(labelled)
+    arriving = labelled.select("id", "created_at", "text", "channel")
+    routed = route(arriving, model, corpus=labelled)
+    return routed.select(
+        "id", "language", "department", "department_confidence", "urgency", "urgency_confidence", "confidence",
+        "needs_human", "sla_hours", "source", "suggested_reply",
+        F.array_join("explain", " ").alias("explain"),
+        F.size("similar").alias("n_similar"),
+        F.get("similar", F.lit(0))["score"].alias("best_similar_score"),
+    )
+
+
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train(tables.tickets(spark, sf_dir))[1]
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = tables.read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _keyword_route(rows: DataFrame) -> DataFrame:
+    """The model-free routing used where results must be replayable in SQL."""
+    text = normalize(F.col("text"))
+    return rows.withColumns({"language": detect_language(F.col("text")), "department": keyword_department(text)})
+
+
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arriving as a stream, routed and stored per micro-batch; must equal the batch result."""
+    root = _folder(spark, "stream-inbox")
+    store = TicketStore(spark, f"{root}/store")
+    arriving = event_tickets(_event_stream(spark, sf_dir)).withColumn("ext_id", F.col("id").cast("string"))
+    rows = arriving.drop("id").withColumn("needs_human", F.lit(False))
+    store_arrivals(rows, store, _keyword_route, f"{root}/checkpoint", ["created_at", "ext_id"]).awaitTermination()
+    return store.raw_tickets().select(
+        "id", "ext_id", "text", "channel", "language", "department", "urgency", "sla_hours", "status",
+        F.col("due_at").cast("timestamp_ntz").alias("due_at"),
+    )
+
+
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark, "stream-counts")
+    counts = department_counts(event_tickets(_event_stream(spark, sf_dir)))
+    publish_counts(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{root}/counts")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled tickets written as CSV and read back with the declared schema."""
+    path = _folder(spark, "labelled-csv")
+    rows = tables.tickets(spark, sf_dir)
+    stamped = rows.withColumns({"id": F.concat(F.lit("T"), F.col("id").cast("string")), "timestamp": F.col("created_at").cast("timestamp")})
+    write_csv(stamped.select("id", "text", "department", "urgency", "language", "channel", "timestamp"), path)
+    back = read_labelled_csv(spark, path)
+    return back.withColumn("timestamp", F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert the tickets, log the corrections twice over, and read the current inbox."""
+    store = TicketStore(spark, _folder(spark, "store"))
+    arriving = _keyword_route(tables.tickets(spark, sf_dir)).withColumn("ext_id", F.col("id").cast("string"))
+    store.insert(arriving.withColumnRenamed("id", "event_id"), order_by=["event_id"])
+    # Stored ids start at 1 where event ids start at 0.
+    wanted = tables.corrections(spark, sf_dir).withColumn("ticket_id", F.col("ticket_id") + 1)
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    store.override(wanted.filter(~late))
+    store.override(wanted.filter(late))
+    last = store.overrides().groupBy(F.col("ticket_id").alias("id")).agg(
+        F.count("*").alias("n_overrides"), F.max_by("pred_dept", "id").alias("replaced_dept"), F.max("id").alias("last_override")
+    )
+    return store.tickets().join(last, "id", "left").select(
+        "id", "ext_id", "department", "urgency", "sla_hours", "status",
+        F.col("due_at").cast("timestamp_ntz").alias("due_at"),
+        F.coalesce("n_overrides", F.lit(0)).alias("n_overrides"), "replaced_dept", "last_override",
+    )

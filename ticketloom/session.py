@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,8 +49,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (as ``schema``, if its types differ).
 
     Used where several later stages read the same intermediate table: columnar files keep column
     pruning and filter pushdown, which a row checkpoint would lose.
@@ -57,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
