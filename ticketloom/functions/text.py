@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,7 +38,9 @@ NEEDS_NFC = rf"[^{NFC_INERT}\x{{94d}}]|\x{{94d}}{{2}}"
 
 @F.arrow_udf(StringType())
 def _nfc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFC")
+    if text.null_count == len(text):
+        return text
+    return pa.array([s if s is None else unicodedata.normalize("NFC", s) for s in text.to_pylist()], pa.string())
 
 
 def nfc(text: Column) -> Column:
