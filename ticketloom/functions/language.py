@@ -12,8 +12,8 @@ DEVANAGARI = r"[\x{900}-\x{97F}]"
 OTHER_INDIC = r"[\x{980}-\x{D7F}]"
 LATIN_WORD = "[a-zA-Z']+"
 # U+0130 and U+212A lower-case to i and k.
-NOT_LATIN_LETTER = r"[^a-zA-Z\x{130}\x{212A}]"
-NOT_LETTER = r"[^\p{L}]"
+LATIN_LETTERS = r"[a-zA-Z\x{130}\x{212A}]+"
+LETTERS = r"\p{L}+"
 HINGLISH_LEXICON = [
     "nahi", "nahin", "nai", "nhi", "mera", "meri", "mere", "hai", "hain",
     "kya", "kyun", "kyu", "kaise", "kab", "abhi", "paise", "paisa",
@@ -41,10 +41,12 @@ def lexicon_hits(text: Column) -> Column:
 
 
 def latin_ratio(text: Column) -> Column:
-    """Latin letters over all letters; NULL when the text has no letter."""
-    letters = F.length(F.regexp_replace(text, NOT_LETTER, ""))
-    latin = F.length(F.regexp_replace(text, NOT_LATIN_LETTER, ""))
-    return F.try_divide(latin.cast("double"), letters.cast("double"))
+    """Latin letters over all letters; NULL when the text has no letter.
+
+    Letters come in runs, so removing them takes few matches; their number is the length lost.
+    """
+    lost = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
+    return F.try_divide(lost(LATIN_LETTERS), lost(LETTERS))
 
 
 def detect_language(text: Column) -> Column:

@@ -33,6 +33,7 @@ NFC_INERT = (
     r"\x{00}-\x{2ff}\x{900}-\x{93b}\x{93d}-\x{94c}\x{94e}-\x{950}\x{955}-\x{957}\x{960}-\x{97f}"
     r"\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20c0}"
 )
+BEYOND_LATIN = r"[^\x{00}-\x{2ff}]"
 NEEDS_NFC = rf"[^{NFC_INERT}\x{{94d}}]|\x{{94d}}{{2}}"
 
 
@@ -44,8 +45,12 @@ def _nfc(text: pa.Array) -> pa.Array:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC. Spark has no built-in; only rows that could change are sent to Arrow."""
-    suspect = F.when(F.regexp_like(text, F.lit(NEEDS_NFC)), text)
+    """Unicode NFC. Spark has no built-in; only rows that could change are sent to Arrow.
+
+    The one-range test comes first because it is many times faster than the full set.
+    """
+    may_change = F.regexp_like(text, F.lit(BEYOND_LATIN)) & F.regexp_like(text, F.lit(NEEDS_NFC))
+    suspect = F.when(may_change, text)
     return F.coalesce(_nfc(suspect), text)
 
 
@@ -99,21 +104,40 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def count_runs(items: Column) -> Column:
-    """Array of items -> array of (item, n, first position), ordered by item.
+def _run_starts(n: Column, same_as_before) -> Column:
+    """1-based positions in a sorted array of ``n`` items where a new value begins."""
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~same_as_before(i))
+
+
+def count_items(items: Column) -> Column:
+    """Array of strings -> array of (item, n), ordered by item.
 
     Sort and run-length instead of a lookup per distinct item, so one long text costs n log n, and
     nothing leaves the row.
     """
-    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("pos"))))
 
     def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(s)),
-            lambda i: (i == 1) | (F.get(s, i - 1)["item"] != F.get(s, i - 2)["item"]),
+        return bind(
+            _run_starts(F.size(s), lambda i: F.get(s, i - 1) == F.get(s, i - 2)),
+            lambda st: F.transform(
+                st,
+                lambda b, j: F.struct(
+                    F.get(s, b - 1).alias("item"), (F.coalesce(F.get(st, j + 1), F.size(s) + 1) - b).alias("n")
+                ),
+            ),
         )
+
+    empty = F.array().cast("array<struct<item:string,n:int>>")
+    return F.when(F.size(items) > 0, bind(F.sort_array(items), runs)).otherwise(empty)
+
+
+def count_placed_items(items: Column) -> Column:
+    """Like ``count_items``, with the first position of every item: array of (item, n, pos)."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("pos"))))
+
+    def runs(s: Column) -> Column:
         return bind(
-            starts,
+            _run_starts(F.size(s), lambda i: F.get(s, i - 1)["item"] == F.get(s, i - 2)["item"]),
             lambda st: F.transform(
                 st,
                 lambda b, j: F.struct(
@@ -134,7 +158,7 @@ def token_highlight(norm: Column, n: int = 8) -> Column:
     kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
     ranked = F.array_sort(
         F.transform(
-            count_runs(kept),
+            count_placed_items(kept),
             lambda r: F.struct((-r["n"]).alias("neg"), r["pos"].alias("pos"), r["item"].alias("item")),
         )
     )

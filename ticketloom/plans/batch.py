@@ -27,9 +27,12 @@ def route_upload(
     With ``store`` the predictions are also appended to the inbox, with ``export`` written as CSV.
     """
     rows = batch_fields(read_upload_csv(spark, path), default_channel).select("text", "channel", "ext_id")
-    predictions = route(assign_ids(rows, id_col="id"), model, corpus)
+    if store:
+        batch_id = store.next_ticket_batch()
+        predictions = route(store.number(rows, batch_id), model, corpus)
+        store.insert(predictions, batch_id, numbered=True)
+    else:
+        predictions = route(assign_ids(rows), model, corpus)
     if export:
         write_csv(predictions.drop("id"), export)
-    if store:
-        store.insert(predictions.drop("id"))
     return predictions

@@ -38,17 +38,30 @@ class TicketStore:
     def _table(self, table: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema + ", batch_id bigint").parquet(f"{self.root}/{table}")
 
-    def _append(self, table: str, schema: str, rows: DataFrame, batch_id: int | None, order_by: list[str] | None) -> DataFrame:
-        """Number the rows after all earlier batches and write them as one batch."""
+    def _number(self, table: str, schema: str, rows: DataFrame, batch_id: int, order_by: list[str] | None) -> DataFrame:
+        """Ids that follow those of all earlier batches, so the same batch always gets the same ids."""
         stored = self._table(table, schema)
-        if batch_id is None:
-            batch_id = 1 + stored.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
-        base = max_id(stored.filter(F.col("batch_id") < batch_id))
-        numbered = assign_ids(rows, base, order_by)
+        # Ids grow with the batches: the newest earlier batch with rows has the highest. Finding it
+        # touches no data column, and the id column is read from that folder only.
+        newest = stored.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+        base = 0 if newest is None else max_id(stored.filter(F.col("batch_id") == newest))
+        return assign_ids(rows, base, order_by)
+
+    def _write(self, table: str, schema: str, rows: DataFrame, batch_id: int) -> DataFrame:
         path = f"{self.root}/{table}/batch_id={batch_id}"
-        numbered.to(self.spark.createDataFrame([], schema).schema).write.mode("overwrite").parquet(path)
+        rows.to(self.spark.createDataFrame([], schema).schema).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _next_batch(self, table: str, schema: str) -> int:
+        return 1 + self._table(table, schema).agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
+
+    def next_ticket_batch(self) -> int:
+        return self._next_batch("tickets", INBOX_SCHEMA)
+
+    def number(self, arriving: DataFrame, batch_id: int, order_by: list[str] | None = None) -> DataFrame:
+        """Give arriving rows their ticket ids. Done before routing, the sort reads raw rows only."""
+        return self._number("tickets", INBOX_SCHEMA, arriving, batch_id, order_by)
+
     def raw_tickets(self) -> DataFrame:
         """Tickets as inserted."""
         return self._table("tickets", INBOX_SCHEMA).drop("batch_id")
@@ -60,12 +73,20 @@ class TicketStore:
         """Current inbox: inserted tickets with the last correction of each applied."""
         return current_state(self.raw_tickets(), self.overrides(), self.taxonomy)
 
-    def insert(self, predictions: DataFrame, batch_id: int | None = None, order_by: list[str] | None = None) -> DataFrame:
-        """Append routed tickets; returns the stored rows with their new ids.
+    def insert(
+        self,
+        predictions: DataFrame,
+        batch_id: int | None = None,
+        order_by: list[str] | None = None,
+        numbered: bool = False,
+    ) -> DataFrame:
+        """Append routed tickets; returns the stored rows with their ids.
 
+        ``numbered`` rows went through ``number`` and keep their ``id``; others get new ids here.
         ``created_at`` is taken from the rows if present, else it is the time of this batch.
         """
-        rows = predictions
+        rows = predictions if numbered else predictions.drop("id")
+        batch_id = self.next_ticket_batch() if batch_id is None else batch_id
         if "created_at" not in rows.columns:
             rows = rows.withColumn("created_at", F.current_timestamp())
         if "extra" not in rows.columns:
@@ -80,9 +101,11 @@ class TicketStore:
         names = [f.name for f in fields]
         absent = {f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in rows.columns}
         filled = insert_defaults(rows.withColumns(absent), self.taxonomy)
-        keep = names + [c for c in order_by or [] if c not in names]
+        keep = names + [c for c in ["id", *(order_by or [])] if c in filled.columns and c not in names]
         kept = filled.select(*keep).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "due_at")})
-        return self._append("tickets", INBOX_SCHEMA, kept, batch_id, order_by)
+        if not numbered:
+            kept = self._number("tickets", INBOX_SCHEMA, kept, batch_id, order_by)
+        return self._write("tickets", INBOX_SCHEMA, kept, batch_id)
 
     def override(self, corrections: DataFrame, batch_id: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Log corrections (id = arrival order, ticket_id, ts, override_dept, override_urg, note).
@@ -94,7 +117,9 @@ class TicketStore:
         _, rejected = check_overrides(corrections, now)
         log = audit_log(corrections, now).withColumnRenamed("id", "_arrival")
         columns = [c for c in AUDIT_COLUMNS if c != "id"]
-        return self._append("overrides", OVERRIDE_SCHEMA, log.select("_arrival", *columns), batch_id, ["_arrival"]), rejected
+        batch_id = self._next_batch("overrides", OVERRIDE_SCHEMA) if batch_id is None else batch_id
+        numbered = self._number("overrides", OVERRIDE_SCHEMA, log.select("_arrival", *columns), batch_id, ["_arrival"])
+        return self._write("overrides", OVERRIDE_SCHEMA, numbered, batch_id), rejected
 
     def snapshot(self, path: str) -> None:
         """Write the current inbox as a plain table for readers that should not replay the log."""

@@ -25,7 +25,8 @@ def store_arrivals(
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        store.insert(route_batch(rows), batch_id + 1, order_by)
+        numbered = store.number(rows, batch_id + 1, order_by)
+        store.insert(route_batch(numbered), batch_id + 1, numbered=True)
 
     return (
         arriving.writeStream.foreachBatch(handle)
