@@ -21,34 +21,31 @@ def analytics(tickets: DataFrame, overrides: DataFrame) -> DataFrame:
     """Long table (metric, key, value): totals, counts by department and language, rates.
 
     The grouping sets run on the small cube, so rows are not multiplied before aggregation. A
-    missing department or language is a group of its own; its key is NULL. An extra row of zeros
-    keeps the totals present for an empty inbox.
+    missing department or language is a group of its own; its key is NULL. The override count joins
+    the cube as one more row, which also keeps the totals present for an empty inbox.
     """
-    nothing = F.lit(None).cast("string")
-    zeros = tickets.sparkSession.range(1).select(
-        nothing.alias("department"), nothing.alias("language"), F.lit(0).alias("n"), F.lit(0).alias("n_human")
+    none = F.lit(None).cast("string")
+    zero = F.lit(0).cast("bigint")
+    logged = overrides.agg(F.count("*").alias("n_overrides")).select(
+        none.alias("department"), none.alias("language"), zero.alias("n"), zero.alias("n_human"), "n_overrides"
     )
-    sets = (
+    rows = (
         ticket_cube(tickets)
-        .unionByName(zeros)
+        .withColumn("n_overrides", zero)
+        .unionByName(logged)
         .groupingSets([["department"], ["language"], []], "department", "language")
         .agg(
             F.grouping("department").alias("g_dept"),
             F.grouping("language").alias("g_lang"),
-            F.sum("n").alias("n"),
-            F.sum("n_human").alias("n_human"),
+            *[F.sum(c).alias(c) for c in ("n", "n_human", "n_overrides")],
         )
         .filter("n > 0 OR (g_dept = 1 AND g_lang = 1)")
     )
-    # Both sides of this join are one-row totals or the few dozen grouped rows.
-    n_overrides = overrides.agg(F.count("*").alias("n_overrides"))
-    rows = sets.join(F.broadcast(n_overrides))
     total = (F.col("g_dept") == 1) & (F.col("g_lang") == 1)
 
     def metric(name: str, key, value):
         return F.struct(F.lit(name).alias("metric"), key.alias("key"), value.cast("double").alias("value"))
 
-    none = F.lit(None).cast("string")
     rate = lambda part: F.coalesce(F.round(F.try_divide(part.cast("double"), F.col("n")), 3), F.lit(0.0))
     overall = F.array(
         metric("n_tickets", none, F.col("n")),

@@ -13,25 +13,23 @@ AUDIT_COLUMNS = ["id", "ticket_id", "ts", "pred_dept", "pred_urg", "override_dep
 ID_BLOCK = 100_000
 
 
-def _per_ticket(corrections: DataFrame) -> DataFrame:
-    return corrections.groupBy("ticket_id").agg(F.count("*").alias("_n"))
-
-
 def check_overrides(corrections: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a correction must name an existing ticket.
-
-    The log is reduced to its distinct ticket ids before it meets the inbox, so only ids are
-    shuffled; a ticket with very many corrections is salted on the way back.
-    """
+    """(accepted, rejected): a correction must name an existing ticket. Only ids of the inbox are read."""
     flagged = _with_ticket(corrections, tickets.select(F.col("id").alias("ticket_id")).withColumn("_hit", F.lit(True)))
     return flagged.filter("_hit").drop("_hit"), flagged.filter("_hit IS NULL").drop("_hit")
 
 
 def _with_ticket(corrections: DataFrame, tickets: DataFrame, rows_per_salt: int | None = None) -> DataFrame:
-    """Left join corrections to ``tickets`` (one row per ticket_id)."""
-    counts = _per_ticket(corrections)
-    wanted = tickets.join(counts.select("ticket_id"), "ticket_id", "left_semi")
-    return skew_join(corrections, wanted, "ticket_id", hot_keys(counts, "ticket_id", "_n", rows_per_salt), F.col("id"), "left")
+    """Left join corrections to ``tickets`` (one row per ticket_id).
+
+    If some ticket is hot, the inbox is first cut down to the tickets named at all, and only those
+    few are repeated per salt.
+    """
+    counts = corrections.groupBy("ticket_id").agg(F.count("*").alias("_n"))
+    hot = hot_keys(counts, "ticket_id", "_n", rows_per_salt)
+    if hot is not None:
+        tickets = tickets.join(counts.select("ticket_id"), "ticket_id", "left_semi")
+    return skew_join(corrections, tickets, "ticket_id", hot, F.col("id"), "left")
 
 
 def latest_override(overrides: DataFrame) -> DataFrame:

@@ -9,36 +9,36 @@ MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 200_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, rows_per_salt: int | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str, rows_per_salt: int | None = None) -> DataFrame | None:
     """Keys with more rows than a thousandth of the total, and the number of salts they need.
 
-    ``counts`` has one row per key. At most a thousand keys can pass the test, so the result is
-    always small enough to broadcast.
+    ``counts`` has one row per key. At most a thousand keys can pass the test, so they may be
+    collected and broadcast. None when no key is hot, which one small job finds out.
     """
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"))
-    # One-row side: this is a scalar attached to every key, not a product of two tables.
-    floor_rows = F.greatest(F.ceil(F.col("total") / MAX_HOT_KEYS), F.lit(rows_per_salt or MIN_HOT_ROWS))
-    return (
-        counts.join(F.broadcast(total))
-        .withColumn("_limit", floor_rows)
-        .filter(F.col(n) > F.col("_limit"))
-        .select(key, F.ceil(F.col(n) / F.col("_limit")).cast("int").alias("_salts"))
-    )
+    total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(-(-total // MAX_HOT_KEYS), rows_per_salt or MIN_HOT_ROWS)
+    if largest <= limit:
+        return None
+    salts = F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_salts")
+    found = counts.filter(F.col(n) > limit).select(key, salts)
+    return counts.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def skew_join(
     big: DataFrame,
     unique: DataFrame,
     key: str,
-    hot: DataFrame,
+    hot: DataFrame | None,
     spread: Column,
     how: str = "inner",
 ) -> DataFrame:
     """Join ``big`` to ``unique`` (one row per key), spreading the hot keys of ``big`` over salts.
 
     ``spread`` is any column that varies inside a hot key, normally the row id. Rows of ``unique``
-    are repeated only for hot keys, once per salt.
+    are repeated only for hot keys, once per salt. Without hot keys this is a plain join.
     """
+    if hot is None:
+        return big.join(unique, key, how)
     hot = F.broadcast(hot)
     left = (
         big.join(hot, key, "left")
