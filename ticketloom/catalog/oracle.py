@@ -130,7 +130,7 @@ _BODY = f"coalesce(b.body, {q(BODIES['en']['Feedback / General'])})"
 DRAFTED = f"""{TICKETS},
 bodies AS (SELECT * FROM {values([(la, d, t) for la, m in BODIES.items() for d, t in m.items()])} b(lang, department, body)),
 frames AS (SELECT * FROM {values([(la, h, t) for la, (h, t) in FRAMES.items()])} f(lang, head, quote)),
-odd AS (SELECT id, text, CASE WHEN id % 17 = 0 THEN 'Gift cards' ELSE department END AS department,
+odd AS (SELECT id, text, channel, CASE WHEN id % 17 = 0 THEN 'Gift cards' ELSE department END AS department,
     CASE WHEN id % 17 = 1 THEN 'other' ELSE {language('text')} END AS language,
     CASE WHEN id % 17 = 2 THEN 'P9' ELSE urgency END AS urgency FROM tickets),
 drafted AS (SELECT t.*, substring({squeeze('t.text')}, 1, 140) AS snippet,
@@ -230,7 +230,7 @@ rk AS (SELECT src, id, tok AS token, row_number() OVER (PARTITION BY src, id ORD
 
 ANSWERS = """
 full_answer AS (SELECT *, '{"suggested_reply":' || to_json('Rewritten: ' || template_reply)::VARCHAR || ',"rationale":"clearer"}' AS good FROM drafted),
-answered AS (SELECT *, id % 11 <> 0 AS has_answer, id % 9 AS kind FROM full_answer),
+answered AS (SELECT *, channel <> 'email' AS has_answer, id % 9 AS kind FROM full_answer),
 judged AS (SELECT *, 'Rewritten: ' || template_reply AS cand FROM answered)"""
 
 # kind 0-2 carry a good object, 3 another SLA, 4 an array, 5 an empty object, 6 a blank reply, 7 no JSON, 8 a failure.
@@ -269,7 +269,7 @@ SELECT department, language, urgency || ' (' || {label('urgency')} || ')' AS urg
         "q02_language_tag": f"""WITH {TEXTS}
 SELECT src, id, {language('text')} AS language,
   len(list_filter(regexp_extract_all(lower(text), '[a-zA-Z'']+'), lambda w: list_contains({lst(HINGLISH_LEXICON)}, w))) AS hits,
-  round(length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 0), 6) AS latin_ratio
+  round(coalesce(length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 0), 0), 6) AS latin_ratio
 FROM texts""",
         "q03_language_confusion": f"""WITH {TICKETS}
 SELECT language AS gold, {language('text')} AS pred, count(*) AS n FROM tickets GROUP BY 1, 2""",
@@ -360,7 +360,7 @@ lasts AS (SELECT ticket_id, count(*) AS n_overrides, arg_max(pred_dept, id) AS r
   arg_max(override_dept, id) AS od, arg_max(override_urg, id) AS ou FROM audit GROUP BY ticket_id)
 SELECT i.tid AS id, CAST(i.id AS VARCHAR) AS ext_id, coalesce(od, i.department) AS department, coalesce(ou, i.urgency) AS urgency,
   {sla('coalesce(ou, i.urgency)')} AS sla_hours, CASE WHEN l.ticket_id IS NULL THEN 'open' ELSE 'overridden' END AS status,
-  i.created_at + {hours(sla('coalesce(ou, i.urgency)'))} AS due_at, coalesce(n_overrides, 0) AS n_overrides, replaced_dept, last_override
+  i.created_at + {hours(sla('coalesce(ou, i.urgency)'))} AS due_at, coalesce(n_overrides, 0) AS n_overrides, replaced_dept, coalesce(last_override, 0) AS last_override
 FROM inbox i LEFT JOIN lasts l ON l.ticket_id = i.id""",
         "q23_sequential_ids": "SELECT event_id, ts, 1000000 + row_number() OVER (ORDER BY ts, event_id) AS ticket_id FROM events",
         "q24_taxonomy_usage": f"""WITH {TICKETS},

@@ -82,7 +82,7 @@ def language_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         detect_language(text).alias("language"),
         lexicon_hits(text).alias("hits"),
-        F.round(latin_ratio(text), 6).alias("latin_ratio"),
+        F.round(F.coalesce(latin_ratio(text), F.lit(0.0)), 6).alias("latin_ratio"),
     )
 
 
@@ -405,5 +405,6 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.tickets().join(last, "id", "left").select(
         "id", "ext_id", "department", "urgency", "sla_hours", "status",
         F.col("due_at").cast("timestamp_ntz").alias("due_at"),
-        F.coalesce("n_overrides", F.lit(0)).alias("n_overrides"), "replaced_dept", "last_override",
+        F.coalesce("n_overrides", F.lit(0)).alias("n_overrides"), "replaced_dept",
+        F.coalesce("last_override", F.lit(0)).alias("last_override"),
     )
