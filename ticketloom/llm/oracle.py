@@ -2,6 +2,57 @@
 
 from __future__ import annotations
 
+from ticketloom.llm.license_scan import SPELLINGS
+from ticketloom.llm.license_texts import TEXTS, notices
+from ticketloom.llm.url_rules import PATTERNS, SITES
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_rules() -> str:
+    sites = ", ".join(f"({_quote(s)}, {_quote(s.split('/')[0])}, {_quote('/' + s.split('/', 1)[1])}, {_quote(a)})" for s, a in SITES)
+    patterns = ", ".join(f"({_quote(n)}, {_quote(a)}, {_quote(p)})" for n, a, p, *_ in PATTERNS)
+    return f"""WITH sites(site, site_host, site_path, action) AS (VALUES {sites}),
+    patterns(name, action, pattern) AS (VALUES {patterns}),
+    parts AS (SELECT rowid AS r, page_id,
+        CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+      FROM (SELECT row_number() OVER () AS rowid, * FROM pages)),
+    split AS (SELECT r, page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    fit AS (SELECT r, arg_max(site, length(site)) AS rule, arg_max(action, length(site)) AS action FROM split, sites
+      WHERE (host = site_host OR ends_with(host, '.' || site_host)) AND starts_with(path, site_path) GROUP BY r),
+    hit AS (SELECT r, max(p.action = 'block') AS blocked FROM split, patterns p
+      WHERE regexp_matches(host || path, pattern) GROUP BY r)
+    SELECT page_id, host, path, rule,
+      coalesce(fit.action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+    FROM split LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)"""
+
+
+def _canonical_lines(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
+    for written, canonical in SPELLINGS:
+        out = f"replace({out}, {_quote(written)}, {_quote(canonical)})"
+    return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+
+def license_scan() -> str:
+    texts = ", ".join(f"({_quote(n)}, {_quote(t)})" for n, t in TEXTS.items())
+    forms = ", ".join(f"({_quote(t)}, {_quote(n)})" for t, n in notices().items())
+    whole = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
+    return f"""WITH texts(license_id, text) AS (VALUES {texts}), forms(text, license_id) AS (VALUES {forms}),
+    known AS (SELECT sha256({whole.format(_canonical_lines("text"))}) AS digest, min(license_id) AS license_id FROM texts GROUP BY 1),
+    form AS (SELECT DISTINCT {whole.format(_canonical_lines("text"))} AS form, license_id FROM forms),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_lines("text")} AS lines FROM documents),
+    full_text AS (SELECT r, doc_id, lines, {whole.format("lines")} AS whole FROM docs),
+    line AS (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS form FROM docs),
+    noticed AS (SELECT r, list_sort(list(DISTINCT license_id)) AS notice_ids FROM line JOIN form USING (form) GROUP BY r)
+    SELECT doc_id, sha256(whole) AS digest, length(whole) AS n_canonical,
+      CASE WHEN whole <> '' THEN license_id END AS license_id, coalesce(notice_ids, []) AS notice_ids
+    FROM full_text LEFT JOIN known ON known.digest = sha256(whole) LEFT JOIN noticed USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan(), "op10_url_rules": url_rules()}

@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketloom.llm.decontaminate import leaks
+from ticketloom.llm.edit_embedding import fingerprint_edits
+from ticketloom.llm.language_mixture import classify
+from ticketloom.llm.license_scan import scan
 from ticketloom.llm.ngram_jaccard import jaccard_components
+from ticketloom.llm.url_rules import judge_urls, production_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +22,32 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, threshold=0.9)
 
 
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), production_rules())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard": ngram_jaccard,
+        "op5_language_mixture": language_mixture,
+        "op6_license_scan": license_scan,
+        "op7_edit_embedding": edit_embedding,
+        "op9_decontaminate": decontaminate,
+        "op10_url_rules": url_rules,
     }
