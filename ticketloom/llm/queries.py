@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,12 @@ from ticketloom.llm.edit_embedding import fingerprint_edits
 from ticketloom.llm.language_mixture import classify
 from ticketloom.llm.license_scan import scan
 from ticketloom.llm.ngram_jaccard import jaccard_components
+from ticketloom.llm.sentencepiece_codec import build_codec, encode, read_model
 from ticketloom.llm.url_rules import judge_urls, production_rules
 
+#: A public model of pieces with scores; a parameter, not part of this repository.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +39,10 @@ def edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), build_codec(read_model(model)), "doc_id")
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_mixture": language_mixture,
         "op6_license_scan": license_scan,
         "op7_edit_embedding": edit_embedding,
+        "op8_sentencepiece": sentencepiece,
         "op9_decontaminate": decontaminate,
         "op10_url_rules": url_rules,
     }

@@ -46,6 +46,18 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+def rolling(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of the bytes follows."""
+    sums = np.zeros(data.size + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power("base", data.size), out=sums[1:])
+    return sums
+
+
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span; its place doesn't matter, its length must be mixed in by the caller."""
+    return (sums[ends] - sums[starts]) * _power("inverse", sums.size)[starts]
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,10 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         last = at[1:][at[1:] > 0] - 1
         stops[last] |= solid[last]
         ends = np.flatnonzero(stops) + 1
-        code = _BYTE[LOWER[piece]] if lower else _BYTE[piece]
-        sums = np.zeros(piece.size + 1, np.uint64)
-        np.cumsum(code * _power("base", piece.size), out=sums[1:])
-        value = (sums[ends] - sums[starts]) * _power("inverse", piece.size + 1)[starts]
+        value = span_hash(rolling(LOWER[piece] if lower else piece), starts, ends)
         rows = np.searchsorted(at, starts, "right") - 1
         out.append((mix(value ^ (ends - starts).astype(np.uint64)), rows + row0, starts + shift, ends + shift))
     if not out:
