@@ -13,6 +13,7 @@ from ticketloom.llm.language_mixture import classify
 from ticketloom.llm.license_scan import scan
 from ticketloom.llm.ngram_jaccard import jaccard_components
 from ticketloom.llm.sentencepiece_codec import build_codec, encode, read_model
+from ticketloom.llm.substring_dedup import repeated_passages
 from ticketloom.llm.url_rules import judge_urls, production_rules
 
 #: A public model of pieces with scores; a parameter, not part of this repository.
@@ -27,6 +28,10 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, threshold=0.9)
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard": ngram_jaccard,
+        "op4_substring_dedup": substring_dedup,
         "op5_language_mixture": language_mixture,
         "op6_license_scan": license_scan,
         "op7_edit_embedding": edit_embedding,
