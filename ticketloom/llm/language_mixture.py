@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = ta.column_bytes(batch.column("text"))
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+            lettered = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
             for first, last in ta.row_groups(offsets):
                 counts = _grams(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 shares, explained = mixtures(counts, held.value) if langs else (np.zeros((last - first, 1)), np.zeros(last - first, bool))
@@ -151,10 +151,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
                 }
                 yield pa.record_batch(out)
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     schema += "lang_pred string, score double, languages array<string>, proportions array<double>, explained boolean"
-    return docs.select(*keep, "text", lettered).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"]), lettered).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
