@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketloom.llm.backoff_lm import score_documents
 from ticketloom.llm.decontaminate import leaks
 from ticketloom.llm.edit_embedding import fingerprint_edits
 from ticketloom.llm.language_mixture import classify
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def backoff_lm(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), build_codec(read_model(model)))
+
+
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, threshold=0.9)
 
@@ -58,6 +63,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_backoff_lm": backoff_lm,
         "op3_ngram_jaccard": ngram_jaccard,
         "op4_substring_dedup": substring_dedup,
         "op5_language_mixture": language_mixture,
