@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticketloom.llm.backoff_lm import score_documents
 from ticketloom.llm.decontaminate import leaks
@@ -16,6 +17,7 @@ from ticketloom.llm.ngram_jaccard import jaccard_components
 from ticketloom.llm.sentencepiece_codec import build_codec, encode, read_model
 from ticketloom.llm.substring_dedup import repeated_passages
 from ticketloom.llm.url_rules import judge_urls, production_rules
+from ticketloom.llm.warc import derivatives, field, responses
 
 #: A public model of pieces with scores; a parameter, not part of this repository.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -25,6 +27,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derivatives(responses(_table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+    return found.select(
+        "record_id",
+        "warc_type",
+        "target_uri",
+        "warc_date",
+        "content_type",
+        field("WARC-Refers-To").alias("refers_to"),
+        field("WARC-Concurrent-To").alias("concurrent_to"),
+        field("WARC-Block-Digest").alias("block_digest"),
+        field("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        F.col("block").cast("string").alias("block"),
+    )
+
+
 def backoff_lm(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), build_codec(read_model(model)))
 
@@ -63,6 +81,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_derivatives": warc_derivatives,
         "op2_backoff_lm": backoff_lm,
         "op3_ngram_jaccard": ngram_jaccard,
         "op4_substring_dedup": substring_dedup,
