@@ -25,7 +25,7 @@ BACKOFF = 0.4
 #: Bound of the pairs that are scored by a broadcast table.
 HOT = 1 << 16
 #: Pairs that a task counts before it passes them on; tokens of a partition; least partitions.
-FLUSH, PARTITION_TOKENS, LEAST_PARTITIONS = 1 << 22, 6_000_000, 16
+FLUSH, PARTITION_TOKENS, LEAST_PARTITIONS = 1 << 20, 6_000_000, 16
 _SHIFT = np.uint64(32)
 
 
@@ -175,30 +175,39 @@ def score_documents(docs: DataFrame, codec: Codec, min_count: int = 2) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, _, hot, hot_score, hot_backed = held.value
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            packed, rows = [], []
-            for first, last, codes, row in _pairs(batch, codec):
-                packed.append(_narrow(codes))
-                rows.append(row + first)
-            codes = np.concatenate(packed) if packed else np.zeros(0, np.uint32)
-            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            tokens = np.bincount(row, minlength=batch.num_rows)
+        packed, names, size = [], [], 0
+
+        def head(batch: pa.RecordBatch, first: int, last: int, codes: np.ndarray, row: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+            n = last - first
             at = np.searchsorted(hot, codes).clip(max=max(hot.size - 1, 0))
             is_hot = hot[at] == codes if hot.size else np.zeros(codes.size, bool)
-            score = np.bincount(row[is_hot], hot_score[at[is_hot]], minlength=batch.num_rows) if hot.size else np.zeros(batch.num_rows)
-            backed = np.bincount(row[is_hot], hot_backed[at[is_hot]], minlength=batch.num_rows) if hot.size else np.zeros(batch.num_rows)
-            head = {"part": pa.nulls(batch.num_rows, pa.int32()), "rows": pa.nulls(batch.num_rows, pa.binary()), "codes": pa.nulls(batch.num_rows, pa.binary())}
-            head |= {"key": keys, "doc_id": batch.column("doc_id"), "n_tokens": tokens, "log_score": score, "n_backoff": backed.astype(np.int64)}
-            yield pa.record_batch(head)
-            codes, row = codes[~is_hot], row[~is_hot]
+            mine, at = row[is_hot], at[is_hot]
+            columns = {"part": pa.nulls(n, pa.int32()), "rows": pa.nulls(n, pa.binary()), "codes": pa.nulls(n, pa.binary())}
+            columns |= {c: batch.column(c).slice(first, n) for c in ("key", "doc_id")}
+            columns |= {"n_tokens": np.bincount(row, minlength=n), "log_score": np.bincount(mine, hot_score[at], minlength=n)}
+            return pa.record_batch(columns | {"n_backoff": np.bincount(mine, hot_backed[at], minlength=n).astype(np.int64)}), ~is_hot
+
+        def tail() -> pa.RecordBatch:
+            codes, key = np.concatenate(packed), np.concatenate(names)
             order, parts, cuts = _split(_wide(codes), partitions)
-            n, none = parts.size, lambda kind: pa.nulls(parts.size, kind)  # noqa: B023
-            tail = {"part": pa.array(parts, pa.int32()), "rows": _runs(keys, row[order], cuts), "codes": _blobs(codes[order], cuts)}
-            tail |= {"key": none(pa.int64()), "doc_id": none(pa.int64()), "n_tokens": none(pa.int64())}
-            tail |= {"log_score": none(pa.float64()), "n_backoff": none(pa.int64())}
-            if n:
-                yield pa.record_batch(tail)
+            columns = {"part": pa.array(parts, pa.int32()), "rows": _runs(key[order], cuts), "codes": _blobs(codes[order], cuts)}
+            columns |= {c: pa.nulls(parts.size, pa.int64()) for c in ("key", "doc_id", "n_tokens")}
+            return pa.record_batch(columns | {"log_score": pa.nulls(parts.size, pa.float64()), "n_backoff": pa.nulls(parts.size, pa.int64())})
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for first, last, codes, row in _pairs(batch, codec):
+                codes = _narrow(codes)
+                scored, rest = head(batch, first, last, codes, row)
+                yield scored
+                packed.append(codes[rest])
+                names.append(keys[row[rest] + first])
+                size += packed[-1].size
+                if size > FLUSH:
+                    yield tail()
+                    packed, names, size = [], [], 0
+        if size:
+            yield tail()
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pieces, *_ = held.value
@@ -239,10 +248,10 @@ def score_documents(docs: DataFrame, codec: Codec, min_count: int = 2) -> DataFr
     return out.drop("copy")
 
 
-def _runs(keys: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> pa.Array:
+def _runs(keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """For each partition the keys of its rows, and how many pairs each has there."""
     out = []
-    for part in np.split(row, cuts) if row.size else []:
+    for part in np.split(keys, cuts):
         edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-        out.append(np.concatenate([keys[part[edge]], np.diff(np.append(edge, part.size))]).astype(np.int64).tobytes())
+        out.append(np.concatenate([part[edge], np.diff(np.append(edge, part.size))]).tobytes())
     return pa.array(out, pa.binary())
