@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import inbox, kpi, overrides
@@ -16,13 +17,18 @@ def as_of(text):
 
 
 def test_taxonomy_keys_replace_whole(tmp_path):
+    yaml = pytest.importorskip("yaml")
     path = tmp_path / "t.yaml"
     path.write_text("urgency:\n  U1: {label: Now, sla_hours: 2}\nabstain_threshold: 0.6\n", encoding="utf-8")
     changed = load_taxonomy(path)
     assert changed.sla_hours == {"U1": 2} and changed.abstain_threshold == 0.6
     assert changed.departments == TAXONOMY.departments and len(TAXONOMY.departments) == 7
-    path.write_text(": : :", encoding="utf-8")
-    assert load_taxonomy(path) == TAXONOMY
+    for wrong in (": : :", "[1]", "departmnets: [A]", "departments: A", "abstain_threshold: high", "urgency: {U: {label: x}}"):
+        path.write_text(wrong, encoding="utf-8")
+        with pytest.raises((ValueError, yaml.YAMLError)):
+            load_taxonomy(path)
+    with pytest.raises(FileNotFoundError):
+        load_taxonomy(tmp_path / "none.yaml")
     assert "Other / Unknown" not in TAXONOMY.routeable
 
 

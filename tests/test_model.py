@@ -12,7 +12,7 @@ from ticketloom.plans.training import metric_document, train
 from ticketloom.sources.files import read_labelled_csv, read_metrics, read_upload_csv, unpack_extra, pack_extra, write_labelled_csv, write_metrics
 from ticketloom.sources.store import TicketStore
 from ticketloom.sources.synthetic import generate
-from ticketloom.streaming.arrivals import department_counts, publish_counts, store_arrivals
+from ticketloom.streaming.arrivals import department_counts, publish_counts, read_counts, store_arrivals
 from ticketloom.taxonomy import TAXONOMY
 
 
@@ -187,7 +187,7 @@ def test_model_survives_saving(spark, labelled, trained, tmp_path):
 def test_upload_batch(spark, trained, tmp_path):
     model, _ = trained
     (tmp_path / "a.csv").write_text('message,id\n"Refund, please\nnow",7\n   ,8\n"He said ""hi""",\n', encoding="utf-8")
-    assert [r.text for r in read_upload_csv(spark, str(tmp_path / "a.csv")).collect()] == ["Refund, please\nnow", "   ", 'He said "hi"']
+    assert [r.text for r in read_upload_csv(spark, str(tmp_path / "a.csv"), multi_line=True).collect()] == ["Refund, please\nnow", "   ", 'He said "hi"']
     (tmp_path / "b.csv").write_text("id,channel,text\n1,phone,App crash\n,,Login OTP\n", encoding="utf-8")
     store = TicketStore(spark, str(tmp_path / "store"))
     got = route_upload(spark, str(tmp_path / "b.csv"), model, "email", store=store, export=str(tmp_path / "out"))
@@ -224,4 +224,4 @@ def test_stream_equals_batch(spark, labelled, trained, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(source).withColumn("department", F.col("channel"))
     publish_counts(department_counts(stream), str(tmp_path / "n"), str(tmp_path / "ckpt2")).awaitTermination()
     want = department_counts(rows.withColumn("department", F.col("channel"))).collect()
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "n")).collect())) == sorted(map(str, want))
+    assert sorted(map(str, read_counts(spark, str(tmp_path / "n")).collect())) == sorted(map(str, want))

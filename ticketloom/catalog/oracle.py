@@ -306,7 +306,7 @@ SELECT id, ticket_id, CASE WHEN ticket_id IN (SELECT id FROM inbox) THEN 'accept
         + ", ".join(f"{mentions('template_reply', q(str(h)))} AS h{h}" for h in (1, 2, 4, 24, 72))
         + " FROM drafted",
         "q14_tfidf_terms": f"WITH {DOCS_NORMED}, {TERMS}, {weights(1, 'tf')} SELECT id, term, round(weight, 6) AS weight FROM weighted",
-        "q14b_term_frequencies": f"WITH {DOCS_NORMED}, {TERMS} SELECT * FROM freq WHERE df >= 2",
+        "q14b_term_frequencies": f"WITH {DOCS_NORMED}, {TERMS} SELECT * FROM freq",
         "q14c_tfidf_sublinear": f"WITH {TICKETS_NORMED}, {TERMS}, {weights(2, '(1 + ln(tf))')} SELECT id, term, round(weight, 6) AS weight FROM weighted",
         "q15_keyword_baseline": f"WITH {TICKETS_NORMED} SELECT id, "
         + ", ".join(f"{hits('norm', w)} AS hits_{i}" for i, w in enumerate(DEPARTMENT_KEYWORDS.values()))
@@ -350,7 +350,7 @@ SELECT row_number() OVER (ORDER BY created_at, CAST(id AS VARCHAR)) AS id, CAST(
         "q22b_stream_daily_counts": f"""WITH {TICKETS}
 SELECT date_trunc('day', created_at)::TIMESTAMP AS window_start, department, count(*) AS n FROM tickets GROUP BY 1, 2""",
         "q25_csv_round_trip": f"""WITH {TICKETS}
-SELECT 'T' || id AS id, text, department, urgency, language, channel, date_trunc('second', created_at)::TIMESTAMP AS timestamp FROM tickets""",
+SELECT 'T' || id AS id, text, department, urgency, language, channel, created_at::TIMESTAMP AS timestamp FROM tickets""",
         "q26_store_round_trip": f"""WITH {TICKETS_NORMED},
 inbox AS (SELECT id, id + 1 AS tid, created_at, {keyword('norm')} AS department, urgency, 'open' AS status FROM normed),
 {CORRECTIONS.replace("accepted AS", "acc0 AS")},

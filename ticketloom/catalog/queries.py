@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticketloom.catalog import tables
 from ticketloom.functions import (
@@ -31,7 +32,7 @@ from ticketloom.session import cut_lineage, shared_dir
 from ticketloom.sources.files import read_labelled_csv, write_csv
 from ticketloom.sources.store import TicketStore
 from ticketloom.sources.synthetic import event_tickets
-from ticketloom.streaming.arrivals import department_counts, publish_counts, store_arrivals
+from ticketloom.streaming.arrivals import department_counts, publish_counts, read_counts, store_arrivals
 from ticketloom.taxonomy import DEPARTMENT_KEYWORDS, TAXONOMY
 
 
@@ -210,7 +211,7 @@ def _normed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _normed_documents(spark, sf_dir)
-    return tfidf.term_frequencies(docs, "id", "norm").filter(F.col("df") >= 2)
+    return tfidf.term_frequencies(docs, "id", "norm")
 
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,9 +348,15 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(tables.tickets(spark, sf_dir))[1]
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = tables.read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _event_parts(spark: SparkSession, sf_dir: str, root: str) -> list[DataFrame]:
+    """The earlier and the later half of the events, which a stream will find one after the other."""
+    events = tables.read(spark, sf_dir, "events")
+    cut = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    return [events.filter(F.col("ts") < F.lit(cut)), events.filter((F.col("ts") >= F.lit(cut)) | F.col("ts").isNull())]
+
+
+def _event_stream(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(folder)
 
 
 def _keyword_route(rows: DataFrame) -> DataFrame:
@@ -359,12 +366,17 @@ def _keyword_route(rows: DataFrame) -> DataFrame:
 
 
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events arriving as a stream, routed and stored per micro-batch; must equal the batch result."""
+    """Events arriving as a stream, routed and stored per micro-batch; must equal the batch result.
+
+    The stream finds half of the events, stops, and goes on from its checkpoint with the rest.
+    """
     root = _folder(spark, "stream-inbox")
     store = TicketStore(spark, f"{root}/store")
-    arriving = event_tickets(_event_stream(spark, sf_dir)).withColumn("ext_id", F.col("id").cast("string"))
-    rows = arriving.drop("id").withColumn("needs_human", F.lit(False))
-    store_arrivals(rows, store, _keyword_route, f"{root}/checkpoint", ["created_at", "ext_id"]).awaitTermination()
+    for part in _event_parts(spark, sf_dir, root):
+        part.write.mode("append").parquet(f"{root}/arriving")
+        arriving = event_tickets(_event_stream(spark, part.schema, f"{root}/arriving"))
+        rows = arriving.withColumn("ext_id", F.col("id").cast("string")).drop("id").withColumn("needs_human", F.lit(False))
+        store_arrivals(rows, store, _keyword_route, f"{root}/checkpoint", ["created_at", "ext_id"]).awaitTermination()
     return store.raw_tickets().select(
         "id", "ext_id", "text", "channel", "language", "department", "urgency", "sla_hours", "status",
         F.col("due_at").cast("timestamp_ntz").alias("due_at"),
@@ -373,10 +385,11 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark, "stream-counts")
-    counts = department_counts(event_tickets(_event_stream(spark, sf_dir)))
-    publish_counts(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{root}/counts")
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    for part in _event_parts(spark, sf_dir, root):
+        part.write.mode("append").parquet(f"{root}/arriving")
+        counts = department_counts(event_tickets(_event_stream(spark, part.schema, f"{root}/arriving")))
+        publish_counts(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    return read_counts(spark, f"{root}/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +399,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamped = rows.withColumns({"id": F.concat(F.lit("T"), F.col("id").cast("string")), "timestamp": F.col("created_at").cast("timestamp")})
     write_csv(stamped.select("id", "text", "department", "urgency", "language", "channel", "timestamp"), path)
     back = read_labelled_csv(spark, path)
-    return back.withColumn("timestamp", F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import detect_language, normalize
 from ticketloom.operators.inbox import insert_defaults
-from ticketloom.session import spread
 from ticketloom.sources.synthetic import event_tickets
 from ticketloom.taxonomy import TAXONOMY
 
@@ -21,11 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return event_tickets(spread(events, "event_id"))
+    return event_tickets(events)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,7 +41,7 @@ NEEDS_NFC = rf"[^{NFC_INERT}\x{{94d}}]|\x{{94d}}{{2}}"
 def _nfc(text: pa.Array) -> pa.Array:
     if text.null_count == len(text):
         return text
-    return pa.array([s if s is None else unicodedata.normalize("NFC", s) for s in text.to_pylist()], pa.string())
+    return pc.utf8_normalize(text, form="NFC")
 
 
 def nfc(text: Column) -> Column:
@@ -54,13 +54,9 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(suspect), text)
 
 
-def normalize(text: Column, unicode_form: bool = True) -> Column:
-    """NULL to '', NFC, URLs and whitespace runs to one space, trimmed.
-
-    ``unicode_form=False`` skips the NFC stage for sources known to be composed already.
-    """
-    t = nfc(text) if unicode_form else text
-    return collapse_spaces(F.regexp_replace(F.coalesce(t, F.lit("")), URL, " "))
+def normalize(text: Column) -> Column:
+    """NULL to '', NFC, URLs and whitespace runs to one space, trimmed."""
+    return collapse_spaces(F.regexp_replace(F.coalesce(nfc(text), F.lit("")), URL, " "))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
-MIN_HOT_ROWS = 200_000
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, rows_per_salt: int | None = None) -> DataFrame | None:
@@ -16,7 +15,7 @@ def hot_keys(counts: DataFrame, key: str, n: str, rows_per_salt: int | None = No
     collected and broadcast. None when no key is hot, which one small job finds out.
     """
     total, largest = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    limit = max(-(-total // MAX_HOT_KEYS), rows_per_salt or MIN_HOT_ROWS)
+    limit = max(-(-total // MAX_HOT_KEYS), rows_per_salt or 1)
     if largest <= limit:
         return None
     salts = F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_salts")

@@ -12,23 +12,26 @@ LABELLED_SCHEMA = (
     "id string, text string, department string, urgency string, language string, channel string, timestamp timestamp"
 )
 METRIC_SCHEMA = "split string, target string, class string, metric string, value double"
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 EXTRA_FIELDS = ["department_top3", "urgency_top3", "rationale", "similar", "explain"]
 
 
-def read_labelled_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Labelled tickets with a declared schema; a missing text is the empty string.
 
-    ``multi_line=False`` lets one very large file be split, for sources without line breaks in cells.
+    Large files are split and read by many tasks. Set ``multi_line`` for sources with line breaks
+    inside cells, which one task must read per file. Timestamps are ISO 8601, with any fraction.
     """
     rows = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).schema(LABELLED_SCHEMA).csv(path)
     return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def read_upload_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_upload_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """An uploaded file: ``text`` is the column of that name or else the first one.
 
     Only the header is read for the names; every column is a string. ``id`` and ``channel`` are kept.
+    ``multi_line`` as for labelled files.
     """
     rows = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
     text_col = "text" if "text" in rows.columns else rows.columns[0]
@@ -44,8 +47,8 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Export predictions; nested columns become JSON text."""
-    _flat(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    """Export predictions; nested columns become JSON text, timestamps keep their microseconds."""
+    _flat(df).write.mode("overwrite").options(**CSV_OPTIONS, timestampFormat=MICROSECONDS).csv(path)
 
 
 def write_labelled_csv(spark: SparkSession, path: str, n: int = 1200, seed: int = 42) -> str:

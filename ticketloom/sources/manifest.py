@@ -1,0 +1,89 @@
+"""The list of a table's batches: an append-only log of small files that no writer can replace.
+
+Each entry is a file named by its number, made only if no file of that number exists; a writer that
+comes second takes the next number. So two writers never get the same ids, and readers see a batch
+only once its entry is there. Entries never change and are read once by each store object.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+
+from pyspark.sql import SparkSession
+
+
+class Manifest:
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm = spark._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._charset = jvm.java.nio.charset.StandardCharsets.UTF_8
+        self._text = jvm.java.lang.String
+        self._known: list[dict] = []
+        self._fs.mkdirs(self._at(""))
+
+    def _read(self, number: int) -> dict:
+        for _ in range(50):  # the file of a writer at work may not be filled yet
+            stream = self._fs.open(self._at(f"{number:012d}.json"))
+            try:
+                text = str(self._text(stream.readAllBytes(), self._charset))
+            finally:
+                stream.close()
+            if text.endswith("\n"):
+                return json.loads(text)
+            time.sleep(0.1)
+        raise OSError(f"entry {number} of the manifest was never finished")
+
+    def entries(self) -> list[dict]:
+        """All entries in order."""
+        while self._fs.exists(self._at(f"{len(self._known):012d}.json")):
+            self._known.append(self._read(len(self._known)))
+        return list(self._known)
+
+    def _append(self, entry: dict) -> bool:
+        """Whether the entry took the number behind those that are known."""
+        path = self._at(f"{len(self._known):012d}.json")
+        try:
+            stream = self._fs.create(path, False)
+        except Exception:
+            if self._fs.exists(path):
+                return False
+            raise
+        stream.write(bytearray((json.dumps(entry) + "\n").encode()))
+        stream.close()
+        return True
+
+    def reserve(self, writer: str, batch: int, n: int) -> int:
+        """First of ``n`` ids for a batch; the same ids again if the batch is written again."""
+        while True:
+            ranges = [e for e in self.entries() if e["kind"] == "reserve"]
+            for e in reversed(ranges):
+                if (e["writer"], e["batch"]) == (writer, batch):
+                    if e["n"] == n:
+                        return e["first"]
+                    break  # other rows under the same key: they get ids of their own
+            first = 1 + max((e["first"] + e["n"] - 1 for e in ranges), default=0)
+            if self._append({"kind": "reserve", "writer": writer, "batch": batch, "first": first, "n": n}):
+                return first
+
+    def commit(self, writer: str, batch: int, folder: str) -> None:
+        """Make ``folder`` the content of the batch."""
+        while True:
+            self.entries()
+            if self._append({"kind": "commit", "writer": writer, "batch": batch, "folder": folder}):
+                return
+
+    def folders(self, before: tuple[str, int] | None = None) -> list[str]:
+        """The folder of each batch, in the order of their first entries; or only those before a batch."""
+        keys: list[tuple[str, int]] = []
+        content = {}
+        for e in self.entries():
+            key = (e["writer"], e["batch"])
+            if key not in keys:
+                keys.append(key)
+            if e["kind"] == "commit":
+                content[key] = e["folder"]
+        if before in keys:
+            keys = keys[: keys.index(before)]
+        return [content[k] for k in keys if k in content]

@@ -1,21 +1,27 @@
-"""Inbox and override log as Parquet tables with one folder per written batch.
+"""Inbox and override log as Parquet tables, written in batches that never replace each other's rows.
 
-A batch folder is overwritten as a whole, so writing the same batch again after a failure changes
-nothing. Ids grow with the batches, which keeps id ranges of files apart for point lookups.
+A batch is known by its writer and its number. Its rows go to a folder of their own and count once
+the manifest names that folder, so a job that fails half-way leaves nothing behind that is read, and
+several writers may append at once. The same batch written again takes the same ids and replaces
+only itself.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.operators.ids import assign_ids, max_id
+from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.inbox import insert_defaults
 from ticketloom.operators.overrides import AUDIT_COLUMNS, audit_log, check_overrides, current_state
+from ticketloom.sources.manifest import Manifest
 from ticketloom.taxonomy import TAXONOMY, Taxonomy
 
 RANKED = "array<struct<label:string,p:double>>"
 HITS = "array<struct<text:string,department:string,urgency:string,language:string,score:double>>"
+# The columns of the two tables.
 INBOX_SCHEMA = (
     "id bigint, ext_id string, created_at timestamp, text string, channel string, language string, department string, "
     "urgency string, confidence double, needs_human boolean, source string, reply string, sla_hours int, "
@@ -26,48 +32,49 @@ OVERRIDE_SCHEMA = (
     "id bigint, ticket_id bigint, ts timestamp, pred_dept string, pred_urg string, override_dept string, "
     "override_urg string, note string"
 )
+SCHEMAS = {"tickets": INBOX_SCHEMA, "overrides": OVERRIDE_SCHEMA}
+Key = tuple[str, int]
 
 
 class TicketStore:
     def __init__(self, spark: SparkSession, root: str, taxonomy: Taxonomy = TAXONOMY):
         self.spark, self.root, self.taxonomy = spark, root.rstrip("/"), taxonomy
-        for table, schema in (("tickets", INBOX_SCHEMA), ("overrides", OVERRIDE_SCHEMA)):
-            empty = spark.createDataFrame([], schema)
-            empty.write.mode("ignore").parquet(f"{self.root}/{table}/batch_id=0")
-
-    def _table(self, table: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema + ", batch_id bigint").parquet(f"{self.root}/{table}")
-
-    def _number(self, table: str, schema: str, rows: DataFrame, batch_id: int, order_by: list[str] | None) -> DataFrame:
-        """Ids that follow those of all earlier batches, so the same batch always gets the same ids."""
-        stored = self._table(table, schema)
-        # Ids grow with the batches: the newest earlier batch with rows has the highest. Finding it
-        # touches no data column, and the id column is read from that folder only.
-        newest = stored.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-        base = 0 if newest is None else max_id(stored.filter(F.col("batch_id") == newest))
-        return assign_ids(rows, base, order_by)
-
-    def _write(self, table: str, schema: str, rows: DataFrame, batch_id: int) -> DataFrame:
-        path = f"{self.root}/{table}/batch_id={batch_id}"
-        rows.to(self.spark.createDataFrame([], schema).schema).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _next_batch(self, table: str, schema: str) -> int:
-        return 1 + self._table(table, schema).agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
-
-    def next_ticket_batch(self) -> int:
-        return self._next_batch("tickets", INBOX_SCHEMA)
-
-    def number(self, arriving: DataFrame, batch_id: int, order_by: list[str] | None = None) -> DataFrame:
+        self._manifests = {t: Manifest(spark, f"{self.root}/{t}/manifest") for t in SCHEMAS}
+
+    def _table(self, table: str, before: Key | None = None) -> DataFrame:
+        folders = self._manifests[table].folders(before)
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+
+    @staticmethod
+    def _key(writer: str | None, batch_id: int | None) -> Key:
+        """The batch's key; without a writer, one that no other batch has."""
+        return (writer or ("default" if batch_id is not None else uuid.uuid4().hex), batch_id or 0)
+
+    def _number(self, table: str, rows: DataFrame, key: Key, order_by: list[str] | None) -> DataFrame:
+        """Ids from the range that the manifest keeps for this batch."""
+        numbered = assign_ids(rows, 0, order_by)
+        first = self._manifests[table].reserve(*key, numbered.count())
+        return numbered.withColumn("id", F.col("id") + F.lit(first - 1))
+
+    def _write(self, table: str, rows: DataFrame, key: Key) -> DataFrame:
+        folder = f"batch-{uuid.uuid4().hex}"
+        path = f"{self.root}/{table}/{folder}"
+        rows.to(self.spark.createDataFrame([], SCHEMAS[table]).schema).write.parquet(path)
+        self._manifests[table].commit(*key, folder)
+        return self.spark.read.schema(SCHEMAS[table]).parquet(path)
+
+    def number(self, arriving: DataFrame, batch_id: int, order_by: list[str] | None = None, writer: str | None = None) -> DataFrame:
         """Give arriving rows their ticket ids. Done before routing, the sort reads raw rows only."""
-        return self._number("tickets", INBOX_SCHEMA, arriving, batch_id, order_by)
+        return self._number("tickets", arriving, self._key(writer, batch_id), order_by)
 
     def raw_tickets(self) -> DataFrame:
         """Tickets as inserted."""
-        return self._table("tickets", INBOX_SCHEMA).drop("batch_id")
+        return self._table("tickets")
 
     def overrides(self) -> DataFrame:
-        return self._table("overrides", OVERRIDE_SCHEMA).drop("batch_id")
+        return self._table("overrides")
 
     def tickets(self) -> DataFrame:
         """Current inbox: inserted tickets with the last correction of each applied."""
@@ -79,14 +86,16 @@ class TicketStore:
         batch_id: int | None = None,
         order_by: list[str] | None = None,
         numbered: bool = False,
+        writer: str | None = None,
     ) -> DataFrame:
         """Append routed tickets; returns the stored rows with their ids.
 
         ``numbered`` rows went through ``number`` and keep their ``id``; others get new ids here.
-        ``created_at`` is taken from the rows if present, else it is the time of this batch.
+        ``created_at`` is taken from the rows if present, else it is the time of this batch. A
+        ``batch_id`` makes the write repeatable: the same writer and id replace that batch alone.
         """
+        key = self._key(writer, batch_id)
         rows = predictions if numbered else predictions.drop("id")
-        batch_id = self.next_ticket_batch() if batch_id is None else batch_id
         if "created_at" not in rows.columns:
             rows = rows.withColumn("created_at", F.current_timestamp())
         if "extra" not in rows.columns:
@@ -104,22 +113,30 @@ class TicketStore:
         keep = names + [c for c in ["id", *(order_by or [])] if c in filled.columns and c not in names]
         kept = filled.select(*keep).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "due_at")})
         if not numbered:
-            kept = self._number("tickets", INBOX_SCHEMA, kept, batch_id, order_by)
-        return self._write("tickets", INBOX_SCHEMA, kept, batch_id)
+            kept = self._number("tickets", kept, key, order_by)
+        return self._write("tickets", kept, key)
 
-    def override(self, corrections: DataFrame, batch_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    def override(
+        self, corrections: DataFrame, batch_id: int | None = None, writer: str | None = None
+    ) -> tuple[DataFrame, DataFrame]:
         """Log corrections (id = arrival order, ticket_id, ts, override_dept, override_urg, note).
 
         Returns (logged audit rows, rejected corrections that name no ticket). Each audit row holds
-        the labels the ticket had just before.
+        the labels the ticket had just before; a batch that is written again is compared with what
+        was logged before it, not with itself. Labels that a caller saw may be given as pred_dept and
+        pred_urg; where they aren't null they are logged instead.
         """
-        now = self.tickets()
+        key = self._key(writer, batch_id)
+        now = current_state(self.raw_tickets(), self._table("overrides", key), self.taxonomy)
         _, rejected = check_overrides(corrections, now)
-        log = audit_log(corrections, now).withColumnRenamed("id", "_arrival")
+        given = [c for c in ("pred_dept", "pred_urg") if c in corrections.columns]
+        log = audit_log(corrections.drop(*given), now).withColumnRenamed("id", "_arrival")
+        if given:
+            seen = corrections.select(F.col("id").alias("_arrival"), *[F.col(c).alias(f"_{c}") for c in given])
+            log = log.join(seen, "_arrival", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in given})
         columns = [c for c in AUDIT_COLUMNS if c != "id"]
-        batch_id = self._next_batch("overrides", OVERRIDE_SCHEMA) if batch_id is None else batch_id
-        numbered = self._number("overrides", OVERRIDE_SCHEMA, log.select("_arrival", *columns), batch_id, ["_arrival"])
-        return self._write("overrides", OVERRIDE_SCHEMA, numbered, batch_id), rejected
+        numbered = self._number("overrides", log.select("_arrival", *columns), key, ["_arrival"])
+        return self._write("overrides", numbered, key), rejected
 
     def snapshot(self, path: str) -> None:
         """Write the current inbox as a plain table for readers that should not replay the log."""

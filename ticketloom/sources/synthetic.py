@@ -20,39 +20,39 @@ FEEDBACK = "Feedback / General"
 TEMPLATES: list[tuple[str, str, str, str]] = [
     (BILLING, "P1", "en", "My card was billed three times for order {n} and {amt} is gone from the salary account."),
     (BILLING, "P1", "en", "Subscription shows unpaid after I paid {amt}; the shop is closed to my customers until this is fixed."),
-    (BILLING, "P2", "en", "UPI transfer of {amt} failed but the bank debited me, reference UTR{n}."),
+    (BILLING, "P2", "en", "Autopay took {amt} for a plan I ended in spring, mandate M{n}."),
     (BILLING, "P2", "en", "Refund for return {n} was promised last week and has not reached my bank."),
     (BILLING, "P3", "en", "Invoice {n} carries the wrong GST number, kindly reissue it."),
     (BILLING, "P3", "en", "Why did my monthly bill rise to {amt} without any notice?"),
     (BILLING, "P4", "en", "Where can I download old invoices, for example number {n}?"),
     (BILLING, "P1", "en", "Double payment of {amt} on invoice {n}, reverse it now or I will go to the ombudsman."),
-    (BILLING, "P1", "hi", "मेरे खाते से {amt} दो बार कट गए हैं, तुरंत रिफंड करें, भुगतान संख्या {n}।"),
-    (BILLING, "P2", "hi", "भुगतान असफल रहा पर बैंक से {amt} निकल गए।"),
+    (BILLING, "P1", "hi", "वेतन का पूरा भुगतान {amt} किसी और विक्रेता {n} को चला गया, आज ही रिफंड चाहिए।"),
+    (BILLING, "P2", "hi", "किस्त की रकम {amt} से बढ़कर आई है, भुगतान का हिसाब भेजिए।"),
     (BILLING, "P3", "hi", "बिल {n} में गलत राशि लिखी है, कृपया सुधारें।"),
     (BILLING, "P4", "hi", "पुराने बिल की कॉपी कहाँ मिलेगी?"),
-    (BILLING, "P1", "hinglish", "Bhai {amt} do baar kat gaye, payment {n} ka refund abhi chahiye."),
-    (BILLING, "P2", "hinglish", "UPI fail hua lekin paise kat gaye, {amt} wapas kab milega?"),
-    (BILLING, "P2", "hinglish", "Refund {n} nahi aaya hai, bank bol raha ki request hi nahi gayi."),
+    (BILLING, "P1", "hinglish", "Cafe ka saara payment {amt} galat merchant {n} ko gaya, aaj salary deni hai."),
+    (BILLING, "P2", "hinglish", "Coupon lagaya phir bhi bill poora {amt} ka bana, payment sheet {n} dekho."),
+    (BILLING, "P2", "hinglish", "EMI ki kist {n} do mahine se zyada kat rahi hai, refund ka hisaab bhejo."),
     (BILLING, "P3", "hinglish", "Mera bill {amt} kaise aaya, plan toh chhota tha."),
     (ACCOUNT, "P1", "en", "Someone changed the password on my account {n} and I am locked out."),
     (ACCOUNT, "P1", "en", "KYC was rejected at midnight and withdrawals of {amt} are frozen for the whole team."),
-    (ACCOUNT, "P2", "en", "Login OTP never arrives on my registered phone, tried {n} times it feels."),
+    (ACCOUNT, "P2", "en", "After the number port my login OTP goes to the old SIM, ticket {n} is still open."),
     (ACCOUNT, "P2", "en", "PAN verification is stuck for two days, application {n}."),
     (ACCOUNT, "P3", "en", "Please change the email address linked with account {n}."),
     (ACCOUNT, "P4", "en", "How do I add a second user to the same login?"),
-    (ACCOUNT, "P2", "hi", "लॉगिन करते समय ओटीपी नहीं आ रहा, आवेदन {n}।"),
+    (ACCOUNT, "P2", "hi", "नया सिम लेने पर लॉगिन का ओटीपी पुराने नंबर पर जाता है, आवेदन {n}।"),
     (ACCOUNT, "P3", "hi", "केवाईसी में नाम की वर्तनी बदलनी है।"),
     (ACCOUNT, "P4", "hi", "पासवर्ड बदलने का तरीका बताइए।"),
-    (ACCOUNT, "P1", "hinglish", "Mera account kisi ne hack kiya hai, password badal gaya, jaldi band karo."),
-    (ACCOUNT, "P2", "hinglish", "Login nahi ho raha hai, OTP kab aayega, id {n}."),
+    (ACCOUNT, "P1", "hinglish", "Chacha ka account {n} do shehron se ek saath login dikha raha hai, password unke paas nahi raha."),
+    (ACCOUNT, "P2", "hinglish", "Account {n} ka fingerprint login naye tablet par register nahi hota, kaise jodein."),
     (ACCOUNT, "P3", "hinglish", "KYC me PAN number galat dikha raha hai, kaise theek karo."),
-    (TECHNICAL, "P1", "en", "The app crashes on launch for every cashier in store {n}, sales are stopped."),
+    (TECHNICAL, "P1", "en", "Scanner screen freezes the app at all gates of hall {n}, visitors are queueing outside."),
     (TECHNICAL, "P2", "en", "Android build hangs on the payment page since the last update."),
     (TECHNICAL, "P3", "en", "Reports page loads slowly and shows error {n} now and then."),
     (TECHNICAL, "P4", "en", "Dark theme hides the save button on small screens."),
-    (TECHNICAL, "P1", "hi", "ऐप खुलते ही क्रैश हो जाता है, पूरी दुकान बंद है।"),
+    (TECHNICAL, "P1", "hi", "मेले के द्वार {n} पर ऐप का स्कैनर जम गया है, क्रैश के बाद लोग बाहर खड़े हैं।"),
     (TECHNICAL, "P3", "hi", "ऐप में त्रुटि {n} बार बार दिखती है।"),
-    (TECHNICAL, "P2", "hinglish", "App crash ho raha hai, update ke baad bhi band ho jata hai."),
+    (TECHNICAL, "P2", "hinglish", "Photo jodte hi app crash hota hai, gallery wala page khaali rehta hai."),
     (TECHNICAL, "P2", "hinglish", "Android phone me app hang hai, kya problem chal rahi hai?"),
     (TECHNICAL, "P3", "hinglish", "Screen par error {n} dikha raha hai, kya karo samjhao."),
     (ORDERS, "P1", "en", "Insulin pack in order {n} was due yesterday and tracking shows nothing."),
@@ -68,25 +68,26 @@ TEMPLATES: list[tuple[str, str, str, str]] = [
     (FRAUD, "P1", "en", "Fake seller {n} took {amt} outside the app and vanished, this is fraud."),
     (FRAUD, "P1", "en", "The driver threatened me at my home after delivery {n}, I feel unsafe."),
     (FRAUD, "P2", "en", "I think profile {n} is a scam run by a bot, please look."),
-    (FRAUD, "P1", "hi", "किसी ने फेक कॉल करके {amt} ठग लिए, यह धोखा है।"),
+    (FRAUD, "P1", "hi", "नकली किराये के विज्ञापन {n} से {amt} की ठगी हुई, यह धोखा है।"),
     (FRAUD, "P1", "hi", "मुझे धमकी भरे संदेश आ रहे हैं, आरोपी का नंबर {n} है।"),
     (FRAUD, "P1", "hinglish", "Fraud ho gaya bhai, fake link se {amt} nikal gaye hai."),
-    (FRAUD, "P1", "hinglish", "Koi scam call karke OTP maang raha hai, number {n} band karo."),
+    (FRAUD, "P1", "hinglish", "Nakli kiraye ka fraud advert {n} chal raha hai, scam hai, log {amt} token de rahe hain."),
     (FEEDBACK, "P4", "en", "Thanks, agent {n} solved my problem with great patience."),
     (FEEDBACK, "P4", "en", "Suggestion: let the dashboard remember my last filter."),
-    (FEEDBACK, "P3", "en", "The new dashboard is confusing, a short guide would help."),
+    (FEEDBACK, "P3", "en", "The seed calendar mixes up monsoon months, a printed chart would help."),
     (FEEDBACK, "P4", "hi", "आपकी सेवा बहुत अच्छी है, धन्यवाद।"),
     (FEEDBACK, "P3", "hi", "मदद केंद्र में हिंदी लेख चाहिए, ची\u095bें खोजना कठिन है।"),
-    (FEEDBACK, "P4", "hinglish", "Naya dashboard mast hai, shukriya team."),
+    (FEEDBACK, "P4", "hinglish", "Mausam wala widget dekhkar bachche khush, accha laga."),
     (FEEDBACK, "P4", "hinglish", "Bahut accha support mila, dhanyavad bhai."),
 ]
 AMOUNTS = ["₹349", "₹1,199", "₹2,750", "₹\u00a079"]
+# Ways a ticket may go on, by language; an empty one leaves it as it is.
 SUFFIXES: dict[str, list[str]] = {
-    "en": ["", "", " Kindly help.", " Waiting for an update.", " Customer id C{n}.", " Sent from the app."],
-    "hi": ["", "", " कृपया जल्दी उत्तर दें।", " ग्राहक संख्या C{n}।"],
-    "hinglish": ["", "", " Jaldi reply karo.", " Customer id C{n} hai."],
+    "en": ["", " It began on gate {n}.", " My neighbour saw it too.", "", " I write this from the train."],
+    "hi": [" पड़ोसी ने भी देखा।", "", " यह द्वार {n} से शुरू हुआ।"],
+    "hinglish": ["", " Padosi ne bhi dekha.", " Train se likh raha hoon, gate {n}."],
 }
-NOISE = ["??", "!!", "pls", "asap", "ok"]
+NOISE = ["...", "(2)", "~", "fwd:", "-- sent twice"]
 GENERATED_CHANNELS = ["app", "email", "web", "whatsapp"]
 NOISE_PERCENT = 8
 NUMBER_BASE, NUMBER_RANGE = 10_000, 90_000
