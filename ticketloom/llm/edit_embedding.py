@@ -87,7 +87,7 @@ def fingerprints(texts: list[str]) -> list[str]:
             if steps.size:
                 mine = np.flatnonzero(level[lane] == k)
                 code = trace[steps - t0][:, mine].astype(np.uint64)
-                salt = (mix(np.arange(first, first + steps.size, dtype=np.uint64)) << np.uint64(8))[:, None]
+                salt = (mix(steps.astype(np.uint64)) << np.uint64(8))[:, None]
                 digit = _HEX[(mix(code + salt) >> np.uint64(60)).astype(np.int64)]
                 if next_of[k] > out.shape[1]:
                     out = np.pad(out, ((0, 0), (0, out.shape[1])))

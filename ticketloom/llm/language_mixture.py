@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import text_arrays as ta
 
-#: Cells of the n-gram table, bytes of an n-gram, EM rounds, smoothing.
-CELLS, N, ROUNDS, ALPHA = 4096, 3, 15, 0.5
+#: Cells of the n-gram table, bytes of an n-gram, EM rounds, smoothing; rows counted at a time.
+CELLS, N, ROUNDS, ALPHA, ROWS = 4096, 3, 15, 0.5, 256
 
 #: A-Z lower-cased, other ASCII that is no letter as a blank, the bytes of other characters as they are.
 _LETTER = np.arange(256, dtype=np.uint8)
@@ -51,7 +51,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = ta.column_bytes(batch.column("text"))
         lang = np.array(batch.column("lang").to_pylist(), object)
-        for first, last in ta.row_groups(offsets):
+        for first, last in ta.row_groups(offsets, most=ROWS):
             counts = _grams(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             for name in set(lang[first:last]):
                 found[name] = found.get(name, 0) + counts[lang[first:last] == name].sum(0)
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
         for batch in batches:
             data, offsets = ta.column_bytes(batch.column("text"))
             lettered = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
-            for first, last in ta.row_groups(offsets):
+            for first, last in ta.row_groups(offsets, most=ROWS):
                 counts = _grams(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 shares, explained = mixtures(counts, held.value) if langs else (np.zeros((last - first, 1)), np.zeros(last - first, bool))
                 order = np.argsort(-shares, 1, kind="stable")

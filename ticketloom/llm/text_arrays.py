@@ -73,12 +73,12 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_groups(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``limit`` bytes together."""
+def row_groups(offsets: np.ndarray, limit: int = PIECE, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes together, and ``most`` rows at most."""
     first, rows = 0, offsets.size - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), first + most, rows)
         yield first, last
         first = last
 
