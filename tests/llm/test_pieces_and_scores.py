@@ -100,14 +100,14 @@ def scores_by_hand(texts, min_count):
     ids = [best_by_hand(t or "", TINY) for t in texts]
     two, one = Counter(), Counter()
     for x in ids:
-        two.update(zip([-1, *x[:-1]], x, strict=True))
+        two.update(zip([-1, *x], x, strict=False))
         one.update(x)
     total = sum(one.values())
     one[-1] = sum(bool(x) for x in ids)
     out = []
     for x in ids:
         score = back = 0
-        for a, b in zip([-1, *x[:-1]], x, strict=True):
+        for a, b in zip([-1, *x], x, strict=False):
             seen = two[a, b] >= min_count
             score += math.log10(two[a, b] / one[a] if seen else 0.4 * one[b] / total)
             back += not seen

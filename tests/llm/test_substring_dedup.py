@@ -52,7 +52,7 @@ def test_chains_have_the_best_score():
     rng = np.random.default_rng(3)
 
     def best(p, q):
-        runs = list(zip(*(x.tolist() for x in sd._runs(p, q)), strict=True))
+        runs = list(zip(*(x.tolist() for x in sd._runs(p, q, 0)), strict=True))
         f = []
         for i, (a, z, b) in enumerate(runs):
             value = z - a + sd.K

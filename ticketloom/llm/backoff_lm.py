@@ -184,7 +184,7 @@ def score_documents(docs: DataFrame, codec: Codec, min_count: int = 2) -> DataFr
             mine, at = row[is_hot], at[is_hot]
             columns = {"part": pa.nulls(n, pa.int32()), "rows": pa.nulls(n, pa.binary()), "codes": pa.nulls(n, pa.binary())}
             columns |= {c: batch.column(c).slice(first, n) for c in ("key", "doc_id")}
-            columns |= {"n_tokens": np.bincount(row, minlength=n), "log_score": np.bincount(mine, hot_score[at], minlength=n)}
+            columns |= {"n_tokens": np.bincount(row, minlength=n), "log_score": np.bincount(mine, hot_score[at], minlength=n).astype(np.float64)}
             return pa.record_batch(columns | {"n_backoff": np.bincount(mine, hot_backed[at], minlength=n).astype(np.int64)}), ~is_hot
 
         def tail() -> pa.RecordBatch:

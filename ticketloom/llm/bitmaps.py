@@ -33,7 +33,7 @@ def test(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def mark(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS) -> DataFrame:
-    """``rows`` with a boolean ``hit``: true wherever the row's key is among ``keys`` (one column of
+    """``rows`` with a boolean ``_hit``: true wherever the row's key is among ``keys`` (one column of
     that name), and for few others. The filter has at most bits / 32768 pages of 4 KB; nothing is shuffled.
     """
     at = position(key, bits)
@@ -42,4 +42,4 @@ def mark(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS) -> DataFr
     out = rows.withColumn("_at", at).withColumn("_page", F.shiftright("_at", 15)).join(F.broadcast(pages), "_page", "left")
     byte = F.expr("cast(conv(hex(substring(_bits, cast((_at & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = F.coalesce((byte / F.pow(F.lit(2), F.expr("_at % 8"))).cast("int") % 2 == 1, F.lit(False))
-    return out.withColumn("hit", hit & F.col(key).isNotNull()).drop("_at", "_page", "_bits")
+    return out.withColumn("_hit", hit & F.col(key).isNotNull()).drop("_at", "_page", "_bits")

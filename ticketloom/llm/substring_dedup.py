@@ -46,7 +46,11 @@ def _winnow(value: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _seeds(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """(seed, doc_id, pos): the first place of each seed in a row; with a filter only what it passes."""
+    """(seed, doc_id, pos, more): the first place of each seed in a row; with a filter only what it passes.
+
+    Where a text repeats a few words over and over, a seed comes again within a window; ``more`` is
+    how many words later it does so for the last time without a gap.
+    """
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,25 +70,32 @@ def _seeds(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 kmer, owner, at = kmer[order], owner[order], at[order]
                 fresh = np.ones(kmer.size, bool)
                 fresh[1:] = (kmer[1:] != kmer[:-1]) | (owner[1:] != owner[:-1])
+                parts = fresh.copy()
+                parts[1:] |= np.diff(at) > WINDOW
+                head = np.flatnonzero(parts)
+                more = (at[np.append(head[1:], at.size) - 1] - at[head])[fresh[head]] if at.size else at
                 kmer, owner, at = kmer[fresh], owner[fresh], at[fresh]
                 pos = at - ta.starts_of(row, last - first)[owner]
-                yield pa.record_batch({"seed": kmer, "doc_id": ids[first:last][owner], "pos": pos.astype(np.int32)})
+                out = {"seed": kmer, "doc_id": ids[first:last][owner], "pos": pos.astype(np.int32), "more": more.astype(np.int32)}
+                yield pa.record_batch(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, pos int, more int")
 
 
-def _runs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(p: np.ndarray, q: np.ndarray, more: np.ndarray | int) -> tuple[np.ndarray, ...]:
     """(first p, last p, first q) of anchors that follow each other on one diagonal."""
     cut = np.ones(p.size, bool)
     cut[1:] = (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > WINDOW + K)
     head = np.flatnonzero(cut)
-    tail = np.append(head[1:], p.size) - 1
-    return p[head], p[tail], q[head]
+    return p[head], np.maximum.reduceat(p + more, head), q[head]
 
 
-def chains(p: np.ndarray, q: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Chains of anchors (p, q), sorted by p: each a list of diagonal runs (first p, last p, first q)."""
-    first, last, other = _runs(p, q)
+def chains(p: np.ndarray, q: np.ndarray, more: np.ndarray | int = 0) -> list[list[tuple[int, int, int]]]:
+    """Chains of anchors (p, q), sorted by p: each a list of diagonal runs (first p, last p, first q).
+
+    An anchor goes on for ``more`` words.
+    """
+    first, last, other = _runs(p, q, more)
     n = first.size
     end = other + last - first  # last place in the earlier document
     ranks = sorted(set(end.tolist()))
@@ -142,15 +153,15 @@ def _chained(anchors: DataFrame, min_words: int) -> DataFrame:
         held: pa.Table | None = None
 
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            d, s, p, q = (table[c].to_numpy() for c in ("doc_id", "src_doc_id", "pos", "src_pos"))
+            d, s, p, q, more = (table[c].to_numpy() for c in ("doc_id", "src_doc_id", "pos", "src_pos", "more"))
             cut = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] != s[:-1])) + 1
             lows = np.concatenate([[0], cut]) if d.size else np.zeros(0, np.int64)
             highs = np.append(cut, d.size)
             rows = []
             for a, b in zip(lows, highs, strict=False):
-                if p[b - 1] + K - p[a] < span:
+                if (p[a:b] + more[a:b]).max() + K - p[a] < span:
                     continue
-                for chain in chains(p[a:b].astype(np.int64), q[a:b].astype(np.int64)):
+                for chain in chains(*(x[a:b].astype(np.int64) for x in (p, q, more))):
                     (p0, _, q0), (p1, p2, q1) = chain[0], chain[-1]
                     if p2 + K - p0 >= span:
                         rows.append((d[a], s[a], p0, q0, p2 + K, q1 + p2 - p1 + K, [x for r in chain for x in r]))
@@ -271,18 +282,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     places = _seeds(docs).groupBy("seed").agg(
-        F.min("doc_id").alias("src_doc_id"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")
+        F.min("doc_id").alias("src_doc_id"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last"), F.min_by("more", "doc_id").alias("src_more")
     )
     shared = materialize(places.where("last > src_doc_id").drop("last"), "shared-seeds")
     bits = bitmaps.build(shared, "seed", hashed=True)
-    anchors = _seeds(docs, bits).join(shared, "seed").where("doc_id > src_doc_id").drop("seed")
+    anchors = _seeds(docs, bits).join(shared, "seed").where("doc_id > src_doc_id")
+    anchors = anchors.select("doc_id", "pos", "src_doc_id", "src_pos", F.least("more", "src_more").alias("more"))
     found = materialize(_chained(anchors, min_words), "chains")
     key = [F.col("doc_id").alias("a_doc"), F.col("p").alias("a_at"), F.col("src_doc_id").alias("b_doc"), F.col("q").alias("b_at")]
     side = lambda n, doc, a, b: found.select(
         F.lit(n).alias("side"), *key, F.col(doc).alias("doc_id"), (F.col(a) - REACH).alias("begin"), (F.col(b) + REACH).alias("end")
     )
     wanted = side(0, "doc_id", "p", "p_end").union(side(1, "src_doc_id", "q", "q_end"))
-    texts = bitmaps.mark(docs, "doc_id", wanted.select("doc_id")).where("hit").select("doc_id", "text")
+    texts = bitmaps.mark(docs, "doc_id", wanted.select("doc_id")).where("_hit").select("doc_id", "text")
     # rows of one doc_id count once: the least text
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     cut = _cut_texts(texts, wanted)
@@ -316,15 +328,15 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     A space is left between what stands before and behind. Texts without spans stay in their tasks,
     unchanged; other columns stay. A text of which nothing but white space is left becomes empty.
     """
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
     marked = bitmaps.mark(docs, "doc_id", spans.select("doc_id"))
-    rest = marked.where("not hit").drop("hit")
+    rest = marked.where("not _hit").drop("_hit")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for i, cuts in enumerate(batch.column("cuts").to_pylist()):
+            for i, cuts in enumerate(batch.column("_cuts").to_pylist()):
                 data, offsets = ta.column_bytes(batch.column("text").slice(i, 1))
                 _, _, start, end = ta.words(data, offsets)
                 keep = np.ones(data.size, bool)
@@ -340,5 +352,5 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in schema.names]
             yield pa.record_batch(columns, schema.names)
 
-    hit = marked.where("hit").drop("hit").join(listed, "doc_id", "left").select(*schema.names, "cuts")
+    hit = marked.where("_hit").drop("_hit").join(listed, "doc_id", "left").select(*schema.names, "_cuts")
     return rest.select(*schema.names).union(hit.mapInArrow(run, schema))
