@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs are written for; ``conf`` (a_b -> a.b) wins."""
+    """A session with the settings the jobs are written for; ``conf`` (a__b -> a.b) wins."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -29,15 +30,17 @@ def build_session(app: str = "ticketloom", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for local masters without a setting."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for intermediate tables: the cluster's checkpoint folder.
+
+    That is ``spark.checkpoint.dir`` or what the application set as checkpoint folder. Only a session
+    whose executors are threads of this process may do without, and then uses a temporary folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = os.path.join(tempfile.gettempdir(), "ticketloom-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), "ticketloom-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -59,13 +62,3 @@ def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> D
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for heavy per-row work on a small input.
-
-    A scan with fewer partitions than cores is at most a few splits, so hashing it by ``key`` is
-    cheap; a scan that already fills the cluster is returned unchanged and is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
