@@ -1,5 +1,5 @@
-from collections import Counter
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ def brute(docs, items, threshold=0.8):
         for i, item in items:
             v = WORD.findall((item or "").lower())
             k = min(5, len(v))
+            if v and not shingles(w, k).keys() & shingles(v, k).keys():
+                continue
             for s in range(len(w)) if v else ():
                 a, b = shingles(w[s : s + len(v)], k), shingles(v, k)
                 if sum((a & b).values()) >= threshold * sum((a | b).values()):
