@@ -111,10 +111,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     items = item_parts(benchmark.select("item_id", "text"))
     windows = _windows(docs.select("doc_id", "text"), items).withColumn("print", simhash("words"))
     masks = [sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), n)]
-    masks = items.sparkSession.createDataFrame([(m,) for m in masks], "mask int")  # 697 rows
+    masks = F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")  # 697 values
     own = items.withColumn("item_print", simhash("words")).withColumnRenamed("words", "item_words")
     each = F.posexplode(F.array(*[_block("item_print", b) for b in range(BLOCKS)])).alias("block", "value")
-    near = own.select("*", each).join(F.broadcast(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    near = own.select("*", each).select("*", masks).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
     looked = windows.select("*", F.posexplode(F.array(*[_block("print", b) for b in range(BLOCKS)])).alias("block", "value"))
     pairs = looked.join(near, ["n_words", "block", "value"])
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
