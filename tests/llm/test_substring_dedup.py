@@ -88,3 +88,26 @@ def test_given_documents_are_covered(documents):
         for run, i in runs.items():
             if first.setdefault(run, d) != d:
                 assert set(range(i, i + 50)) <= covered.get(d, set())
+
+
+def covers_all_runs(texts, found, n=50):
+    """Whether every run of n words that an earlier document has is inside reported passages."""
+    covered, first = {}, {}
+    for r in found:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - n + 1):
+            if first.setdefault(tuple(texts[d][i : i + n]), d) != d and not set(range(i, i + n)) <= covered.get(d, set()):
+                return False
+    return True
+
+
+def test_passages_split_over_several_first_sources(make):
+    s1, s2, s3 = prose(30, "s"), prose(30, "t"), prose(26, "u")
+    texts = {
+        1: prose(50, "a") + s1 + prose(50, "a"), 2: prose(20, "b") + s2 + prose(60, "b"), 3: s1 + s2, 4: prose(9, "c") + s1 + s2,
+        5: prose(60, "d") + s3 + prose(70, "d"), 6: prose(31, "e") + s2[5:] + s3 + prose(8, "e"), 7: s2[5:] + s3[:25], 8: s1 + s2 + prose(90, "f") + s1 + s2,
+    }
+    found = sd.repeated_passages(make([(d, " ".join(t)) for d, t in texts.items()])).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.src_doc_id) for r in found} >= {(4, 9, 69, 3), (7, 0, 50, 6), (8, 0, 60, 3), (8, 150, 210, 3)}
+    assert {r.doc_id for r in found} == {4, 7, 8} and covers_all_runs(texts, found)

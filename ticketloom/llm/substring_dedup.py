@@ -6,6 +6,11 @@ order of doc_id, so a seed in n documents gives n - 1 anchors and never pairs of
 Anchors of two documents are chained in increasing order of both: the best chain before an anchor is
 the greatest prefix in a Fenwick tree over the places of the earlier document, less a cost for the
 gap. Chains are aligned: gaps by their longest common subsequence, ends by local alignment.
+
+The seeds of a passage may stand first in different documents. So the windows of min_words words that
+no passage found so far covers are joined with their own first places, which are chained and aligned
+likewise. Only windows whose seeds all stand in an earlier document can be repeats; others are not
+hashed into rows.
 """
 
 from __future__ import annotations
@@ -26,20 +31,29 @@ from ticketloom.session import materialize
 K, WINDOW = 8, 17
 #: Cost of a word in a gap of a chain; the greatest gap; words aligned beyond the outer seeds.
 GAP_COST, GAP, REACH = 0.1, 64, 48
+#: Factor of a document's salt.
+SALT = 2654435761
 #: Words and identity of a passage.
 MIN_WORDS, IDENTITY = 50, 0.8
 
 
+def _least(value: np.ndarray) -> np.ndarray:
+    """The least of each window of k-mers."""
+    n = max(value.size - WINDOW + 1, 0)
+    least = value[:n].copy()
+    for j in range(1, WINDOW):
+        np.minimum(least, value[j : j + n], out=least)
+    return least
+
+
 def _winnow(value: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Which k-mers are the least of some window inside their row."""
     chosen = np.zeros(value.size, bool)
-    n = value.size - WINDOW + 1
-    if n <= 0:
+    least = _least(value)
+    n = least.size
+    if not n:
         return chosen
     inside = row[:n] == row[WINDOW - 1 :]
-    least = value[:n].copy()
-    for j in range(1, WINDOW):
-        np.minimum(least, value[j : j + n], out=least)
     for j in range(WINDOW):
         chosen[j : j + n] |= inside & (value[j : j + n] == least)
     return chosen
@@ -82,6 +96,128 @@ def _seeds(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, pos int, more int")
 
 
+def _repeatable(value: np.ndarray, row: np.ndarray, bits: np.ndarray, min_words: int, salt: np.ndarray | None = None) -> np.ndarray:
+    """Places where ``min_words`` words of one row begin whose seeds, with the row's salt, are all in the filter."""
+    at = ta.windows(value, row, min_words)
+    inner = min_words - K - WINDOW + 2  # windows of seeds among so many words
+    if inner <= 0 or not at.size:
+        return at
+    least = _least(ta.window_hash(value, np.arange(value.size - K + 1), K)).view(np.int64)
+    if salt is not None:
+        least = least ^ salt[row[: least.size]]
+    misses = np.concatenate([[0], np.cumsum(~bitmaps.test(bits, least & np.int64(bitmaps.BITS - 1)))])
+    return at[misses[at + inner] == misses[at]]
+
+
+def _stretches(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+    """(doc_id, begin, end): first places, from begin to below end, of windows that may be repeats.
+
+    The filter holds the seeds that an earlier document has, with their documents' salt.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ta.column_bytes(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for first, last in ta.row_groups(offsets):
+                value, row, _, _ = ta.words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                salt = (ids[first:last] & (bitmaps.BITS - 1)) * SALT
+                at = _repeatable(value, row, held.value, min_words, salt)
+                owner = row[at]
+                cut = np.ones(at.size, bool)
+                cut[1:] = (np.diff(at) > 1) | (np.diff(owner) > 0)
+                head = np.flatnonzero(cut)
+                tail = np.append(head[1:], at.size)[: head.size] - 1
+                start = ta.starts_of(row, last - first)[owner[head]]
+                out = {"doc_id": ids[first:last][owner[head]], "begin": (at[head] - start).astype(np.int32)}
+                yield pa.record_batch(out | {"end": (at[tail] + 1 - start).astype(np.int32)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, begin int, end int")
+
+
+def _uncovered(stretches: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, stretches) of the windows that are not inside the spans."""
+    part = lambda df, a, b, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(a, b))).alias(name))
+    listed = part(stretches, "begin", "end", "stretches").join(part(spans, "start_word", "end_word", "cover"), "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, left = [], []
+            for r in batch.to_pylist():
+                merged: list[list[int]] = []
+                for c in r["cover"] or []:
+                    if merged and c["start_word"] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], c["end_word"])
+                    else:
+                        merged.append([c["start_word"], c["end_word"]])
+                # first places of the windows inside what is covered
+                inside = [(a, b - min_words + 1) for a, b in merged if b - a >= min_words]
+                rest, i = [], 0
+                for x in r["stretches"]:
+                    at, end = x["begin"], x["end"]
+                    while i < len(inside) and inside[i][1] <= at:
+                        i += 1
+                    j = i
+                    while at < end and j < len(inside) and inside[j][0] < end:
+                        if inside[j][0] > at:
+                            rest += [at, inside[j][0]]
+                        at = max(at, inside[j][1])
+                        j += 1
+                    if at < end:
+                        rest += [at, end]
+                if rest:
+                    ids.append(r["doc_id"])
+                    left.append(rest)
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "stretches": pa.array(left, pa.list_(pa.int32()))})
+
+    return listed.mapInArrow(run, "doc_id long, stretches array<int>")
+
+
+def _window_keys(value: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words that begin at each place."""
+    return ta.mix(ta.span_hash(ta.value_sums(value), at, at + n)).view(np.int64)
+
+
+def _open_windows(docs: DataFrame, uncovered: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, pos) of the windows of the given stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                value, row, _, _ = ta.words(*ta.column_bytes(batch.column("text").slice(i, 1)))
+                flat = batch.column("stretches")[i].as_py()
+                at = np.concatenate([np.arange(a, b) for a, b in zip(flat[::2], flat[1::2], strict=True)])
+                at = at[at + min_words <= value.size]  # of another row of this doc_id
+                out = {"key": _window_keys(value, at, min_words), "doc_id": np.full(at.size, doc_id, np.int64)}
+                yield pa.record_batch(out | {"pos": at.astype(np.int32)})
+
+    texts = bitmaps.mark(docs, "doc_id", uncovered.select("doc_id")).where("_hit").select("doc_id", "text")
+    joined = texts.join(uncovered, "doc_id").select("doc_id", "text", "stretches")
+    return joined.mapInArrow(run, "key long, doc_id long, pos int").distinct()
+
+
+def _window_places(docs: DataFrame, bits: np.ndarray, keys: np.ndarray, min_words: int) -> DataFrame:
+    """(key, doc_id, pos) of the windows that may be repeats and pass the filter of keys."""
+    held = docs.sparkSession.sparkContext.broadcast((bits, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, wanted = held.value
+        for batch in batches:
+            data, offsets = ta.column_bytes(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for first, last in ta.row_groups(offsets):
+                value, row, _, _ = ta.words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                at = _repeatable(value, row, seeds, min_words)
+                key = _window_keys(value, at, min_words)
+                keep = bitmaps.test(wanted, key & np.int64(bitmaps.BITS - 1))
+                key, at = key[keep], at[keep]
+                pos = at - ta.starts_of(row, last - first)[row[at]]
+                yield pa.record_batch({"key": key, "doc_id": ids[first:last][row[at]], "pos": pos.astype(np.int32)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, pos int")
+
+
 def _runs(p: np.ndarray, q: np.ndarray, more: np.ndarray | int) -> tuple[np.ndarray, ...]:
     """(first p, last p, first q) of anchors that follow each other on one diagonal."""
     cut = np.ones(p.size, bool)
@@ -277,8 +413,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     src_doc_id. Words are runs without ASCII white space, A-Z lower-cased. Reported are passages of
     ``min_words`` or more with matches / longer side at least ``identity``. Repeats inside one
     document, and between rows of one doc_id, don't count. Rows without doc_id, and null, empty or
-    shorter texts have no passages; an empty table gives none; other columns are ignored. A passage
-    is found if it shares a run of K + WINDOW - 1 = 24 words with the place that has its seeds first.
+    shorter texts have no passages; an empty table gives none; other columns are ignored. Every run of
+    ``min_words`` words that an earlier document has is inside reported passages. Another passage is
+    found if it shares a run of K + WINDOW - 1 = 24 words with the place that has its seeds first.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     places = _seeds(docs).groupBy("seed").agg(
@@ -287,7 +424,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     shared = materialize(places.where("last > src_doc_id").drop("last"), "shared-seeds")
     bits = bitmaps.build(shared, "seed", hashed=True)
     anchors = _seeds(docs, bits).join(shared, "seed").where("doc_id > src_doc_id")
-    anchors = anchors.select("doc_id", "pos", "src_doc_id", "src_pos", F.least("more", "src_more").alias("more"))
+    anchors = anchors.select("doc_id", "pos", "src_doc_id", "src_pos", F.least("more", "src_more").alias("more"), "seed")
+    anchors = materialize(anchors, "anchors")
+    pairs = anchors.select(F.expr(f"seed ^ ((doc_id & {bitmaps.BITS - 1}) * {SALT}L)").alias("pair"))
+    spans = materialize(_aligned(docs, anchors.drop("seed"), min_words, identity), "spans")
+    uncovered = materialize(_uncovered(_stretches(docs, bitmaps.build(pairs, "pair", hashed=True), min_words), spans, min_words), "uncovered")
+    later = materialize(_open_windows(docs, uncovered, min_words), "open-windows")
+    if later.isEmpty():
+        return spans
+    known = _window_places(docs, bits, bitmaps.build(later, "key", hashed=True), min_words)
+    known = known.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    known = known.select("key", F.col("at.doc_id").alias("src_doc_id"), F.col("at.pos").alias("src_pos"))
+    anchors = later.join(known, "key").where("doc_id > src_doc_id")
+    anchors = anchors.select("doc_id", "pos", "src_doc_id", "src_pos", F.lit(max(min_words - K, 0)).alias("more"))
+    return spans.union(_aligned(docs, anchors, min_words, identity)).distinct()
+
+
+def _aligned(docs: DataFrame, anchors: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """The passages of the anchors (doc_id, pos, src_doc_id, src_pos, more)."""
     found = materialize(_chained(anchors, min_words), "chains")
     key = [F.col("doc_id").alias("a_doc"), F.col("p").alias("a_at"), F.col("src_doc_id").alias("b_doc"), F.col("q").alias("b_at")]
     side = lambda n, doc, a, b: found.select(

@@ -53,6 +53,13 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of 64-bit values follows."""
+    sums = np.zeros(values.size + 1, np.uint64)
+    np.cumsum(values * _power("base", values.size), out=sums[1:])
+    return sums
+
+
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span; its place doesn't matter, its length must be mixed in by the caller."""
     return (sums[ends] - sums[starts]) * _power("inverse", sums.size)[starts]
