@@ -111,3 +111,33 @@ def test_passages_split_over_several_first_sources(make):
     found = sd.repeated_passages(make([(d, " ".join(t)) for d, t in texts.items()])).collect()
     assert {(r.doc_id, r.start_word, r.end_word, r.src_doc_id) for r in found} >= {(4, 9, 69, 3), (7, 0, 50, 6), (8, 0, 60, 3), (8, 150, 210, 3)}
     assert {r.doc_id for r in found} == {4, 7, 8} and covers_all_runs(texts, found)
+
+
+def test_parts_of_a_chain_that_misses_the_identity(make):
+    a, b, c, d, e = (prose(n, "v") for n in (60, 40, 55, 55, 60))
+    texts = {
+        1: prose(10, "a") + a + prose(40, "g") + b + prose(9, "a"), 2: prose(30, "b") + a + prose(40, "h") + b + prose(5, "b"),
+        3: c + prose(50, "i") + d, 4: prose(8, "c") + c + prose(50, "j") + d,
+        5: e + prose(20, "k") + a[:30] + b[:25], 6: e + prose(60, "l"),
+    }
+    found = sd.repeated_passages(make([(k, " ".join(t)) for k, t in texts.items()])).collect()
+    got = {(r.doc_id, r.start_word, r.end_word, r.src_doc_id, r.src_start_word) for r in found}
+    assert got == {(2, 30, 90, 1, 10), (4, 8, 63, 3, 0), (4, 113, 168, 3, 105), (6, 0, 60, 5, 0)}
+    assert all(r.identity >= 0.8 and r.end_word - r.start_word >= 50 for r in found) and covers_all_runs(texts, found)
+
+
+def test_passages_of_random_chains_hold_their_equal_runs():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x, y, runs = [], [], []
+        for _ in range(rng.integers(1, 7)):
+            same = rng.integers(0, 1 << 60, rng.integers(8, 90)).tolist()
+            runs.append((len(x), len(x) + len(same) - sd.K, len(y)))
+            x += same + rng.integers(0, 1 << 60, rng.integers(1, 60)).tolist()
+            y += same + rng.integers(0, 1 << 60, rng.integers(1, 60)).tolist()
+        found = sd.passages(np.array(x), np.array(y), runs, 50, 0.8)
+        for s, e, t, u, matches in found:
+            assert e - s >= 50 and matches / max(e - s, u - t) >= 0.8 and matches <= len(set(x[s:e]) & set(y[t:u]))
+        for first, last, other in runs:
+            if last + sd.K - first >= 50:
+                assert any(s <= first and last + sd.K <= e and t <= other for s, e, t, u, _ in found)

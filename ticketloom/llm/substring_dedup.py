@@ -5,7 +5,8 @@ K + WINDOW - 1 words has a common seed. Each place of a seed is joined with its
 order of doc_id, so a seed in n documents gives n - 1 anchors and never pairs of later documents.
 Anchors of two documents are chained in increasing order of both: the best chain before an anchor is
 the greatest prefix in a Fenwick tree over the places of the earlier document, less a cost for the
-gap. Chains are aligned: gaps by their longest common subsequence, ends by local alignment.
+gap. Chains are aligned: gaps by their longest common subsequence, ends by local alignment. Of a chain
+that misses the identity, the longest parts that reach it are passages.
 
 The seeds of a passage may stand first in different documents. So the windows of min_words words that
 no passage found so far covers are joined with their own first places, which are chained and aligned
@@ -374,6 +375,79 @@ def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tup
     return p0 - left[0], at_a + right[0], q0 - left[1], at_b + right[1], matches + right[2]
 
 
+def _equal_parts(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], trim: bool = True) -> list[tuple[int, int, int]]:
+    """(start, end in a, start in b) of a chain's equal stretches; its outer ones go on while words are equal."""
+    out: list[tuple[int, int, int]] = []
+    at_a = at_b = 0
+    for i, (first, last, other) in enumerate(runs):
+        skip = max(at_a - first, at_b - other, 0) if trim else 0
+        end = last + K
+        x, y = a[first + skip : end], b[other + skip : other + end - first]
+        n = min(x.size, y.size)
+        same = np.concatenate([[False], x[:n] == y[:n], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        parts = [(first + skip + int(s), first + skip + int(e), other + skip + int(s)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
+        if parts and (i == 0 or not trim) and parts[0][0] == first:
+            s, e, o = parts[0]
+            m = min(s, o, REACH)
+            differ = np.flatnonzero(a[s - m : s][::-1] != b[o - m : o][::-1])
+            m = int(differ[0]) if differ.size else m
+            parts[0] = (s - m, e, o - m)
+        if parts and (i == len(runs) - 1 or not trim) and parts[-1][1] == end:
+            s, e, o = parts[-1]
+            x, y = a[e : e + REACH], b[o + e - s : o + e - s + REACH]
+            m = min(x.size, y.size)
+            differ = np.flatnonzero(x[:m] != y[:m])
+            parts[-1] = (s, e + (int(differ[0]) if differ.size else m), o)
+        out += parts
+        at_a, at_b = max(at_a, end), max(at_b, other + end - first)
+    return out
+
+
+def passages(
+    a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], min_words: int, identity: float
+) -> list[tuple[int, int, int, int, int]]:
+    """(start, end in a, start, end in b, matches) of a chain's passages.
+
+    That is the entire chain, or if it misses the identity, each part from one equal stretch to another
+    that reaches it and is inside no longer such part.
+    """
+
+    def fits(x: tuple[int, int, int, int, int]) -> bool:
+        return x[1] - x[0] >= min_words and x[4] / max(x[1] - x[0], x[3] - x[2]) >= identity
+
+    whole = align(a, b, runs)
+    if fits(whole):
+        return [whole]
+    found: list[tuple[int, int, int, int, int]] = []
+
+    def add(part: list[tuple[int, int, int]], exact: tuple[int, int, int, int, int]) -> None:
+        for x in (align(a, b, [(s, e - K, o) for s, e, o in part]), exact):
+            if fits(x):
+                found.append(x)
+                return
+
+    parts = _equal_parts(a, b, runs)
+    if parts:
+        s, e, o = (np.array(x, np.int64) for x in zip(*parts, strict=True))
+        size = e - s
+        gaps = [_common(a[e[i] : s[i + 1]], b[o[i] + size[i] : o[i + 1]]) for i in range(s.size - 1)]
+        total = np.cumsum(size + np.array([0, *gaps]))  # matches up to the end of each part
+        reached = -1
+        for i in range(s.size):
+            matches = total[i:] - total[i] + size[i]
+            longer = np.maximum(e[i:] - s[i], o[i:] + size[i:] - o[i])
+            j = i + int(np.flatnonzero(matches >= identity * longer)[-1])
+            # a part that reaches beyond its outer words can be that much longer
+            if j > reached and e[j] - s[i] >= min_words - 2 * REACH:
+                add(parts[i : j + 1], (int(s[i]), int(e[j]), int(o[i]), int(o[j] + size[j]), int(matches[j - i])))
+            reached = max(reached, j)
+    for s0, e0, o0 in _equal_parts(a, b, runs, trim=False):  # runs that overlap were trimmed above
+        if e0 - s0 >= min_words and not any(x[0] <= s0 and e0 <= x[1] for x in found):
+            add([(s0, e0, o0)], (s0, e0, o0, o0 + e0 - s0, e0 - s0))
+    return found
+
+
 def _cut_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted rows (key, doc_id, begin, end in words) with the words' hashes and the first one's number."""
 
@@ -464,9 +538,8 @@ def _aligned(docs: DataFrame, anchors: DataFrame, min_words: int, identity: floa
                 x, y = np.frombuffer(r["a_words"], np.uint64), np.frombuffer(r["b_words"], np.uint64)
                 f, g, flat = r["a_first"], r["b_first"], r["runs"]
                 steps = [(flat[i] - f, flat[i + 1] - f, flat[i + 2] - g) for i in range(0, len(flat), 3)]
-                s, e, t, u, matches = align(x, y, steps)
-                share = matches / max(e - s, u - t)
-                if e - s >= min_words and share >= identity:
+                for s, e, t, u, matches in passages(x, y, steps, min_words, identity):
+                    share = matches / max(e - s, u - t)
                     rows.append((r["a_doc"], s + f, e + f, r["b_doc"], t + g, u + g, matches, min(share, 1.0)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
