@@ -141,3 +141,11 @@ def test_passages_of_random_chains_hold_their_equal_runs():
         for first, last, other in runs:
             if last + sd.K - first >= 50:
                 assert any(s <= first and last + sd.K <= e and t <= other for s, e, t, u, _ in found)
+
+
+def test_each_copy_in_a_document_is_found(make):
+    passage = prose(90, "p")
+    fuzzy = [w if i % 35 else "new" for i, w in enumerate(passage[1:], 1)]  # equal runs of 34 words
+    rows = [(1, " ".join(prose(20, "a") + passage)), (2, " ".join(prose(10, "b") + fuzzy + prose(200, "b") + fuzzy + prose(7, "b") + passage))]
+    found = spans(sd.repeated_passages(make(rows)))
+    assert found == [(2, 10, 99, 1, 21, 110), (2, 299, 388, 1, 21, 110), (2, 395, 485, 1, 20, 110)]

@@ -61,10 +61,10 @@ def _winnow(value: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _seeds(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """(seed, doc_id, pos, more): the first place of each seed in a row; with a filter only what it passes.
+    """(seed, doc_id, pos, more): the first place of each seed in a row; with a filter each place of what it passes.
 
     Where a text repeats a few words over and over, a seed comes again within a window; ``more`` is
-    how many words later it does so for the last time without a gap.
+    how many words later it does so for the last time without a gap, and these are one place.
     """
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -88,8 +88,10 @@ def _seeds(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 parts = fresh.copy()
                 parts[1:] |= np.diff(at) > WINDOW
                 head = np.flatnonzero(parts)
-                more = (at[np.append(head[1:], at.size) - 1] - at[head])[fresh[head]] if at.size else at
-                kmer, owner, at = kmer[fresh], owner[fresh], at[fresh]
+                more = at[np.append(head[1:], at.size) - 1] - at[head] if at.size else at
+                if held.value is None:
+                    head, more = head[fresh[head]], more[fresh[head]]
+                kmer, owner, at = kmer[head], owner[head], at[head]
                 pos = at - ta.starts_of(row, last - first)[owner]
                 out = {"seed": kmer, "doc_id": ids[first:last][owner], "pos": pos.astype(np.int32), "more": more.astype(np.int32)}
                 yield pa.record_batch(out)
@@ -137,13 +139,20 @@ def _stretches(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, begin int, end int")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few are held as Python objects or as words."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _uncovered(stretches: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, stretches) of the windows that are not inside the spans."""
     part = lambda df, a, b, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(a, b))).alias(name))
     listed = part(stretches, "begin", "end", "stretches").join(part(spans, "start_word", "end_word", "cover"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, left = [], []
             for r in batch.to_pylist():
                 merged: list[list[int]] = []
@@ -453,7 +462,7 @@ def _cut_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
             begin, end = batch.column("begin").to_numpy(), batch.column("end").to_numpy()
@@ -532,7 +541,7 @@ def _aligned(docs: DataFrame, anchors: DataFrame, min_words: int, identity: floa
     runs = found.select(*key, "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["a_words"], np.uint64), np.frombuffer(r["b_words"], np.uint64)
