@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from ticketloom.llm import license_scan as ls
@@ -19,6 +21,23 @@ def test_known_texts_in_other_spellings(make):
     assert ls.scan_licenses(make(rows), {}, {}).where("license_id is not null or size(notice_ids) > 0").count() == 0
 
 
+def test_known_texts_in_any_wrapping_below_titles_and_notices(make):
+    rows, want = [], []
+    for name, text in license_texts.TEXTS.items():
+        blocks = text.split("\n\n")
+        forms = [" ".join(text.split()), *("\n\n".join(textwrap.fill(b, n) for b in blocks) for n in (40, 72, 76, 79, 100)), "\n".join(text.split())]
+        notices = ["Copyright (c) 2020 A. N. Other", "Copyright 2019-2021 Some Company, Inc.", "(c) 2020 X\nCopyright © Y", "© Z", "Copyright The Authors", "Copyright <year> <holder>"]
+        forms += [f"{head}\n\n{forms[2]}" for head in [*license_texts.TITLES[name], *notices]]
+        forms += [f"{t}\n\n{notices[0]}\n\n{forms[3]}" for t in license_texts.TITLES[name]] + [f"{license_texts.TITLES[name][0]}\n{notices[1]}\r\n\r\n{forms[2]}"]
+        rows += [(len(rows) + i, f) for i, f in enumerate(forms)]
+        want += [name] * len(forms)
+    got = {r.doc_id: r.license_id for r in ls.scan(make(rows)).collect()}
+    assert [(i, got[i]) for i in sorted(got)] == list(enumerate(want))
+    mit = license_texts.MIT
+    broken = [(1, mit.replace("COPYRIGHT HOLDERS BE LIABLE", "")), (2, mit.replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "COPYRIGHT HOLDERS BE FREE"))]
+    assert ls.scan(make(broken)).where("license_id is not null").count() == 0
+
+
 def test_rules_by_hand(spark):
     cases = [
         ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),

@@ -1,6 +1,6 @@
 """Licence scan: canonical digests of entire texts and lines, joined to those of known licences.
 
-Native: DataFrame functions only. The canonical form has lower case, no copyright lines, one spelling
+Native: DataFrame functions only. The canonical form has lower case, no copyright notices, one spelling
 of words that are written in several ways, and single blanks for everything else than letters and
 digits. The known digests are made by the same expression from the given texts.
 """
@@ -20,13 +20,17 @@ SPELLINGS = [
     ("authoris", "authoriz"), ("organis", "organiz"), ("recognis", "recogniz"), ("initialis", "initializ"),
     ("https://", "http://"), ("&", " and "),
 ]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A line that begins with copyright, (c) or the sign and goes on with one of these or a year.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:(?:copyright|\(c\))[ \t:,]*(?:copyright|\(c\)|©|[\[<{]?(?:(?:19|20)[0-9]{2}|y{4}|year))|©)[^\n]*"
+#: A paragraph of lines that begin with copyright.
+COPYRIGHT_PARAGRAPH = r"(^|\n[ \t]*\n)(?:[ \t]*copyright[^\n]*(?:\n|$))+(?=[ \t]*(?:\n|$))"
 
 
 def canonical_lines(text: str | Column) -> Column:
     """The canonical form with its line ends kept."""
     out = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, COPYRIGHT_PARAGRAPH, "\n\n")
     for written, canonical in SPELLINGS:
         out = F.replace(out, F.lit(written), F.lit(canonical))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
@@ -37,8 +41,10 @@ def canonical(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(digest, license_id) of known texts; of several licences with one digest the first in order of name."""
-    rows = spark.createDataFrame(sorted((name, text) for name, text in texts.items()), "license_id string, text string")
+    """(digest, license_id) of known texts, also below each of their titles; of several licences with one
+    digest the first in order of name."""
+    forms = [(name, head + text) for name, text in texts.items() for head in ["", *(f"{t}\n\n" for t in license_texts.TITLES.get(name, []))]]
+    rows = spark.createDataFrame(sorted(forms), "license_id string, text string")
     digest = F.sha2(canonical(canonical_lines("text")), 256)
     return rows.groupBy(digest.alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -46,7 +52,7 @@ def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 def scan_licenses(docs: DataFrame, texts: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """(doc_id, digest, n_canonical, license_id, notice_ids) of each row.
 
-    license_id names the known licence that the entire text is, else null. notice_ids lists in order
+    license_id names the known licence that the entire text is, with or without a title, else null. notice_ids lists in order
     of name the licences of which a whole line is a known notice. Null text is the empty text; an
     empty canonical text is no licence. Repeated rows stay; other columns are ignored. The known
     texts are dictionaries of the driver, which bounds what is broadcast; no text leaves its task.
