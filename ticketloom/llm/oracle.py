@@ -54,5 +54,29 @@ def license_scan() -> str:
     FROM full_text LEFT JOIN known ON known.digest = sha256(whole) LEFT JOIN noticed USING (r)"""
 
 
+def source_divergence() -> str:
+    p = "1 + 1000000000 * ({} + 1) // ({} + V)"
+    f = "(p - q) * (p - q) // q"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT lang, source, r, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+    counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM words GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n)::BIGINT AS lang_n FROM counted GROUP BY ALL HAVING sum(docs) >= 3),
+    sizes AS (SELECT lang, count(*) AS V, sum(lang_n)::BIGINT AS lang_total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+    totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM grid GROUP BY ALL),
+    shares AS (SELECT lang, source, term, n, {p.format("n", "total")} AS p, {p.format("lang_n", "lang_total")} AS lang_p
+      FROM grid JOIN totals USING (lang, source) JOIN sizes USING (lang)),
+    both_sides AS (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source),
+    sums AS (SELECT lang, source, item, sum({f}) AS value FROM both_sides GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b USING (lang) LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ({f.replace("q", "lang_p")})::BIGINT AS value FROM shares WHERE n > 0 AND p > lang_p),
+    ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan(), "op10_url_rules": url_rules()}
+    return {"op6_license_scan": license_scan(), "op10_url_rules": url_rules(), "op11_source_divergence": source_divergence()}

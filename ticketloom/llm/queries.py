@@ -15,6 +15,7 @@ from ticketloom.llm.language_mixture import classify
 from ticketloom.llm.license_scan import scan
 from ticketloom.llm.ngram_jaccard import jaccard_components
 from ticketloom.llm.sentencepiece_codec import build_codec, encode, read_model
+from ticketloom.llm.source_divergence import audit
 from ticketloom.llm.substring_dedup import repeated_passages
 from ticketloom.llm.url_rules import judge_urls, production_rules
 from ticketloom.llm.warc import derivatives, field, responses
@@ -79,6 +80,10 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), production_rules())
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": warc_derivatives,
@@ -91,4 +96,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": sentencepiece,
         "op9_decontaminate": decontaminate,
         "op10_url_rules": url_rules,
+        "op11_source_divergence": source_divergence,
     }
