@@ -13,12 +13,14 @@ from ticketloom.llm.decontaminate import leaks
 from ticketloom.llm.edit_embedding import fingerprint_edits
 from ticketloom.llm.language_mixture import classify
 from ticketloom.llm.license_scan import scan
+from ticketloom.llm.multi_index import nearest
 from ticketloom.llm.ngram_jaccard import jaccard_components
 from ticketloom.llm.sentencepiece_codec import build_codec, encode, read_model
 from ticketloom.llm.source_divergence import audit
 from ticketloom.llm.substring_dedup import repeated_passages
 from ticketloom.llm.url_rules import judge_urls, production_rules
 from ticketloom.llm.warc import derivatives, field, responses
+from ticketloom.llm.whitening import whiten
 
 #: A public model of pieces with scores; a parameter, not part of this repository.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -84,6 +86,14 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"))
 
 
+def multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": warc_derivatives,
@@ -97,4 +107,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": decontaminate,
         "op10_url_rules": url_rules,
         "op11_source_divergence": source_divergence,
+        "op12_multi_index": multi_index,
+        "op13_whitening": whitening,
     }
