@@ -17,6 +17,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.session import materialize
+
 #: Words of a shingle; similarity of a leak.
 SHINGLE, THRESHOLD = 5, 0.8
 #: Hamming radius, in 4 blocks of 16 bits.
@@ -25,6 +27,8 @@ RADIUS, BLOCKS, BITS = 15, 4, 16
 PART = 256
 #: Rows of items' shingles that are broadcast at once; more are joined in further blocks.
 BROADCAST_ROWS = 500_000
+#: Up to so many items (of ``PART`` words at most) are broadcast to the verification; more are joined by a shuffle.
+BROADCAST_ITEMS = 5_000
 _LANES = 0x0001000100010001
 
 
@@ -108,20 +112,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     shorter than a shingle match as whole sequences. Repeated rows count once; rows without doc_id
     or item_id are compared like others and give null ids. Other columns are ignored.
     """
-    items = item_parts(benchmark.select("item_id", "text"))
-    windows = _windows(docs.select("doc_id", "text"), items).withColumn("print", simhash("words"))
+    items = item_parts(benchmark.select("item_id", "text")).withColumn("print", simhash("words"))
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = _windows(docs.select("doc_id", "text"), items.drop("print", "item")).withColumn("print", simhash("words"))
+    windows = materialize(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     masks = [sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), n)]
     masks = F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")  # 697 values
-    own = items.withColumn("item_print", simhash("words")).withColumnRenamed("words", "item_words")
-    each = F.posexplode(F.array(*[_block("item_print", b) for b in range(BLOCKS)])).alias("block", "value")
-    near = own.select("*", each).select("*", masks).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    looked = windows.select("*", F.posexplode(F.array(*[_block("print", b) for b in range(BLOCKS)])).alias("block", "value"))
-    pairs = looked.join(near, ["n_words", "block", "value"])
+    each = F.posexplode(F.array(*[_block("print", b) for b in range(BLOCKS)])).alias("block", "value")
+    index = items.select("item", "n_words", F.col("print").alias("item_print"), each).select("*", masks)
+    index = index.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    looked = windows.select("window", "n_words", "print", each)
+    # the planner doesn't see how many rows the masks make, so it must not choose to broadcast them
+    pairs = looked.join(index.hint("shuffle_merge"), ["n_words", "block", "value"])
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
     close = [F.bit_count(F.shiftrightunsigned(differ, BITS * b).bitwiseAND(F.lit(0xFFFF))) <= RADIUS // BLOCKS for b in range(BLOCKS)]
     # a pair that meets in several blocks is kept in the first of them
     first = F.coalesce(*[F.when(c, F.lit(b)) for b, c in enumerate(close)])
-    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (F.col("block") == first))
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (F.col("block") == first)).select("window", "item")
+    pairs = pairs.join(windows.select("window", "doc_id", "start", "n_words", "words"), "window")
+    own = items.select("item", "item_id", "k", F.col("words").alias("item_words"))
+    pairs = pairs.join(F.broadcast(own) if items.count() <= BROADCAST_ITEMS else own, "item")
     result = []
     for k in range(1, SHINGLE + 1):
         result.append(F.when(F.col("k") == k, F.struct(_shingles("words", k).alias("a"), _shingles("item_words", k).alias("b"))))
