@@ -91,6 +91,11 @@ TEXTS = f"""{TICKETS},
 texts AS (SELECT 'ticket' AS src, id, text FROM tickets
   UNION ALL SELECT 'document', doc_id, text FROM documents)"""
 
+DECOMPOSED_PARTS = """parts AS (SELECT 'part' AS src, p_partkey AS id, CASE p_partkey % 4
+    WHEN 0 THEN replace(p_name, 'e', 'e' || chr(769)) WHEN 1 THEN replace(p_name, 'r', 'o' || chr(803) || chr(775))
+    WHEN 2 THEN replace(p_name, 'i', chr(4370) || chr(4449) || chr(4523))
+    ELSE replace(p_name, 'l', chr(2325) || chr(2364) || chr(2344) || chr(2364)) END AS text FROM part)"""
+
 INBOX = f"""{TICKETS},
 raw_inbox AS (SELECT id, created_at, text, channel, {language('text')} AS language, department, urgency,
     round(0.30 + id * 13 % 70 / 100.0::DOUBLE, 2) AS confidence FROM tickets),
@@ -273,7 +278,8 @@ SELECT src, id, {language('text')} AS language,
 FROM texts""",
         "q03_language_confusion": f"""WITH {TICKETS}
 SELECT language AS gold, {language('text')} AS pred, count(*) AS n FROM tickets GROUP BY 1, 2""",
-        "q04_normalize": f"""WITH {TEXTS} SELECT src, id, {norm('text')} AS norm, length({norm('text')}) AS n_chars FROM texts""",
+        "q04_normalize": f"""WITH {TEXTS}, {DECOMPOSED_PARTS}, every AS (SELECT * FROM texts UNION ALL SELECT * FROM parts)
+SELECT src, id, {norm('text')} AS norm, length({norm('text')}) AS n_chars FROM every""",
         "q05_token_highlight": f"WITH {TEXTS}, {RANKED_TOKENS} SELECT src, id, CAST(rank AS INTEGER) AS rank, token FROM rk WHERE rank <= 8",
         "q06_sla_clock": f"""WITH o AS (SELECT o_orderkey, o_orderdate AS c,
   CASE o_orderpriority[1] WHEN '1' THEN 'P1' WHEN '2' THEN 'P2' WHEN '3' THEN 'P3' ELSE 'P4' END AS urgency FROM orders)

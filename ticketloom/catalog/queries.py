@@ -70,6 +70,9 @@ def routed_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("due").alias("next_due"))
     )
 
+#: Letters that q04 writes decomposed, by part number: Latin with one and with two marks, Hangul, Devanagari with nukta.
+DECOMPOSED = [("e", "e\u0301"), ("r", "o\u0323\u0307"), ("i", "\u1112\u1161\u11ab"), ("l", "\u0915\u093c\u0928\u093c")]
+
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.tickets(spark, sf_dir).select(F.lit("ticket").alias("src"), "id", "text")
@@ -93,8 +96,13 @@ def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets and documents, and the names of parts written with decomposed letters."""
+    name = F.col("p_name")
+    written = [(F.replace(name, F.lit(a), F.lit(b))) for a, b in DECOMPOSED]
+    kind = F.pmod("p_partkey", F.lit(len(DECOMPOSED)))
+    parts = tables.read(spark, sf_dir, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("id"), F.get(F.array(*written), kind.cast("int")).alias("text"))
     norm = normalize(F.col("text"))
-    return _texts(spark, sf_dir).select("src", "id", norm.alias("norm")).withColumn("n_chars", F.length("norm"))
+    return _texts(spark, sf_dir).unionByName(parts).select("src", "id", norm.alias("norm")).withColumn("n_chars", F.length("norm"))
 
 
 def token_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,7 +41,10 @@ NEEDS_NFC = rf"[^{NFC_INERT}\x{{94d}}]|\x{{94d}}{{2}}"
 def _nfc(text: pa.Array) -> pa.Array:
     if text.null_count == len(text):
         return text
-    return pc.utf8_normalize(text, form="NFC")
+    # pyarrow's utf8_normalize leaves sequences decomposed, so each different text goes through the standard library
+    found = text.dictionary_encode()
+    composed = [unicodedata.normalize("NFC", t) for t in found.dictionary.to_pylist()]
+    return pa.array(composed, pa.string()).take(found.indices)
 
 
 def nfc(text: Column) -> Column:
