@@ -38,6 +38,42 @@ def test_known_texts_in_any_wrapping_below_titles_and_notices(make):
     assert ls.scan(make(broken)).where("license_id is not null").count() == 0
 
 
+def test_sql_is_the_same_function(spark, make):
+    import duckdb
+
+    from ticketloom.llm.oracle import license_scan as sql
+
+    mit, isc = license_texts.MIT, license_texts.ISC
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A\n\n" + mit), (2, "Copyright The Authors\n copyright b\n\ncopyright c\n\n" + isc), (3, "copyright holder x\ny\n\n" + isc),
+        (4, "\ncopyright a\n   \n" + isc + "\n\n\tcopyright z"), (5, None), (6, ""), (7, "copyright"), (8, "a copyright\n\n copyright 2\n\nb\nLicensed under MIT."),
+        (9, "x\r\n\r\nCopyright y\r\n\r\nz"), (10, "copyright a\n\ncopyright b\n\ncopyright c\n"), (None, mit), (1, mit + "\n\ncopyright the authors"),
+    ]
+    got = sorted(map(repr, (tuple(r) for r in ls.scan(make(rows)).collect())))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(map(repr, con.execute(sql()).fetchall()))
+    ids = {r.doc_id: r.license_id for r in ls.scan(make(rows[:4])).collect()}
+    assert ids == {1: "MIT", 2: "ISC", 3: None, 4: "ISC"}
+
+
+def test_long_runs_of_lines(make):
+    runs = ["copyright holder x\n" * 100_000, "\n" * 100_000, " " * 1_000_000, "copyright\n\n" * 100_000, "(c) 2020\n" * 100_000, "x\n\t " * 100_000, "copyright " * 100_000]
+    got = ls.scan(make(list(enumerate(runs)))).collect()
+    assert len(got) == len(runs) and all(r.license_id is None for r in got)
+    assert {r.doc_id for r in got if r.n_canonical == 0} == {0, 1, 2, 3, 4, 6}
+
+
+def test_texts_from_a_folder(spark, make, tmp_path):
+    (tmp_path / "Apache-2.0.txt").write_text("Apache License\n\nTerms of use: do this.\n")
+    (tmp_path / "MPL-2.0").write_text("Mozilla terms")
+    texts = ls.license_folder(spark, str(tmp_path))
+    assert sorted(texts) == ["Apache-2.0", "MPL-2.0"]
+    got = ls.scan_licenses(make([(1, "APACHE LICENSE terms of use -- do this"), (2, "mozilla  terms"), (3, "terms")]), texts, {}).collect()
+    assert {r.doc_id: r.license_id for r in got} == {1: "Apache-2.0", 2: "MPL-2.0", 3: None}
+
+
 def test_rules_by_hand(spark):
     cases = [
         ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),

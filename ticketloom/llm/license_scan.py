@@ -7,6 +7,8 @@ digits. The known digests are made by the same expression from the given texts.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,22 @@ SPELLINGS = [
 ]
 #: A line that begins with copyright, (c) or the sign and goes on with one of these or a year.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:(?:copyright|\(c\))[ \t:,]*(?:copyright|\(c\)|©|[\[<{]?(?:(?:19|20)[0-9]{2}|y{4}|year))|©)[^\n]*"
-#: A paragraph of lines that begin with copyright.
-COPYRIGHT_PARAGRAPH = r"(^|\n[ \t]*\n)(?:[ \t]*copyright[^\n]*(?:\n|$))+(?=[ \t]*(?:\n|$))"
+#: In a paragraph between blank lines: a line that begins otherwise than with copyright.
+OTHER_LINE = r"(^|\n)(?!copyright)"
+
+
+def _without_notice_paragraphs(text: Column) -> Column:
+    """Paragraphs of which every line begins with copyright go. Blanks before lines go, too."""
+    framed = F.regexp_replace(F.concat(F.lit("\n\n"), text, F.lit("\n\n")), r"\n[ \t]+", "\n")
+    kept = F.filter(F.split(framed, "\n{2,}"), lambda p: p.rlike(OTHER_LINE))
+    return F.when(F.contains(text, F.lit("copyright")), F.array_join(kept, "\n\n")).otherwise(text)
 
 
 def canonical_lines(text: str | Column) -> Column:
     """The canonical form with its line ends kept."""
     out = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     out = F.regexp_replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), COPYRIGHT_LINE, "\n")
-    out = F.regexp_replace(out, COPYRIGHT_PARAGRAPH, "\n\n")
+    out = _without_notice_paragraphs(out)
     for written, canonical in SPELLINGS:
         out = F.replace(out, F.lit(written), F.lit(canonical))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
@@ -43,8 +52,7 @@ def canonical(lines: Column) -> Column:
 def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """(digest, license_id) of known texts, also below each of their titles; of several licences with one
     digest the first in order of name."""
-    forms = [(name, head + text) for name, text in texts.items() for head in ["", *(f"{t}\n\n" for t in license_texts.TITLES.get(name, []))]]
-    rows = spark.createDataFrame(sorted(forms), "license_id string, text string")
+    rows = spark.createDataFrame(license_texts.titled(texts), "license_id string, text string")
     digest = F.sha2(canonical(canonical_lines("text")), 256)
     return rows.groupBy(digest.alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -74,5 +82,14 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str], notices: dict[str, str
     return out.select("doc_id", "digest", "n_canonical", licence, "notice_ids")
 
 
+def license_folder(spark: SparkSession, path: str) -> dict[str, str]:
+    """Licence -> text from a folder of whole texts, each in a file named by its licence (MPL-2.0.txt).
+
+    Such a folder holds some hundred files, so the texts come to the driver.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("name"), "value")
+    return {unquote(r["name"]): r["value"] for r in rows.collect()}
+
+
 def scan(docs: DataFrame) -> DataFrame:
     return scan_licenses(docs, license_texts.TEXTS, license_texts.notices())

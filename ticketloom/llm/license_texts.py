@@ -89,6 +89,11 @@ NAMES = {
 PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}."]
 
 
+def titled(texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(licence, text) of each text, also below each of its titles."""
+    return sorted((name, head + text) for name, text in texts.items() for head in ["", *(f"{t}\n\n" for t in TITLES.get(name, []))])
+
+
 def notices() -> dict[str, str]:
     """Notice line -> licence, for each phrase and name."""
     return {p.format(name): licence for licence, names in NAMES.items() for name in names for p in PHRASES}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ticketloom.llm.license_scan import SPELLINGS
-from ticketloom.llm.license_texts import TEXTS, notices
+from ticketloom.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
+from ticketloom.llm.license_texts import TEXTS, notices, titled
 from ticketloom.llm.url_rules import PATTERNS, SITES
 
 
@@ -32,14 +32,18 @@ def url_rules() -> str:
 
 
 def _canonical_lines(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
+    out = f"regexp_replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), {_quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+    framed = f"regexp_replace(chr(10) || chr(10) || ({out}) || chr(10) || chr(10), '\\n[ \\t]+', chr(10), 'g')"
+    other = "list_filter(string_split(p, chr(10)), lambda x: NOT starts_with(x, 'copyright'))"
+    kept = f"array_to_string(list_filter(regexp_split_to_array({framed}, '\\n{{2,}}'), lambda p: len({other}) > 0), chr(10) || chr(10))"
+    out = f"CASE WHEN contains({out}, 'copyright') THEN {kept} ELSE {out} END"
     for written, canonical in SPELLINGS:
         out = f"replace({out}, {_quote(written)}, {_quote(canonical)})"
     return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
 
 def license_scan() -> str:
-    texts = ", ".join(f"({_quote(n)}, {_quote(t)})" for n, t in TEXTS.items())
+    texts = ", ".join(f"({_quote(n)}, {_quote(t)})" for n, t in titled(TEXTS))
     forms = ", ".join(f"({_quote(t)}, {_quote(n)})" for t, n in notices().items())
     whole = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
     return f"""WITH texts(license_id, text) AS (VALUES {texts}), forms(text, license_id) AS (VALUES {forms}),
