@@ -32,6 +32,8 @@ from ticketloom.session import materialize
 K, WINDOW = 8, 17
 #: Cost of a word in a gap of a chain; the greatest gap; words aligned beyond the outer seeds.
 GAP_COST, GAP, REACH = 0.1, 64, 48
+#: Tasks that rows which want one document's text are dealt to.
+SLOTS = 32
 #: Factor of a document's salt.
 SALT = 2654435761
 #: Words and identity of a passage.
@@ -457,29 +459,53 @@ def passages(
     return found
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """Of rows with one doc_id, a row with the text of the least hash; texts move only where ids repeat."""
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("text")).alias("chosen"))
+    twice = materialize(twice.where("rows > 1").drop("rows"), "repeated-ids")
+    if twice.isEmpty():
+        return docs
+    marked = bitmaps.mark(docs, "doc_id", twice.select("doc_id"))
+    alone = marked.where("not _hit").select("doc_id", "text")
+    some = marked.where("_hit").select("doc_id", "text").join(twice, "doc_id", "left")
+    some = some.where(F.col("chosen").isNull() | (F.xxhash64("text") == F.col("chosen")))
+    return alone.union(some.dropDuplicates(["doc_id"]).select("doc_id", "text"))
+
+
+_KEY = ["a_doc", "a_at", "b_doc", "b_at"]
+
+
 def _cut_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted rows (key, doc_id, begin, end in words) with the words' hashes and the first one's number."""
+    """The wanted rows (key, doc_id, begin, end in words) with the words' hashes and the first one's number.
+
+    A text stands once before the rows that want it. Rows that want one document are dealt to
+    ``SLOTS`` tasks by the document they come from, so the source of a common passage is no hot key.
+    """
+    slot = F.pmod(F.xxhash64("a_doc"), F.lit(SLOTS)).cast("int").alias("slot")
+    wanted = wanted.select("doc_id", slot, F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "side", *_KEY, "begin", "end")
+    asked = wanted.select("doc_id", "slot").distinct()
+    none = [F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in ("side", *_KEY, "begin", "end")]
+    texts = docs.join(asked, "doc_id").select("doc_id", "slot", F.lit(0).alias("kind"), "text", *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value = None, None
+        value = np.zeros(0, np.uint64)
         for batch in _slices(batches):
-            ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text")
-            begin, end = batch.column("begin").to_numpy(), batch.column("end").to_numpy()
-            parts, firsts = [], []
-            for i, doc_id in enumerate(ids):
-                if known != doc_id:
-                    data, offsets = ta.column_bytes(texts.slice(i, 1))
-                    known, value = doc_id, ta.words(data, offsets)[0]
-                first = max(int(begin[i]), 0)
-                parts.append(value[first : int(end[i])].tobytes())
-                firsts.append(first)
-            out = {c: batch.column(c) for c in ("side", "a_doc", "a_at", "b_doc", "b_at")}
-            yield pa.record_batch(out | {"first": pa.array(firsts, pa.int32()), "words": pa.array(parts, pa.binary())})
-
-    joined = docs.join(wanted, "doc_id").select("side", "a_doc", "a_at", "b_doc", "b_at", "begin", "end", "doc_id", "text")
+            head = np.flatnonzero(batch.column("kind").to_numpy() == 0)
+            for low, high in zip(np.concatenate([[0], head]), np.append(head, batch.num_rows), strict=True):
+                if low < high and low in head:
+                    value = ta.words(*ta.column_bytes(batch.column("text").slice(low, 1)))[0]
+                    low += 1
+                rows = batch.slice(low, high - low)
+                if not rows.num_rows:
+                    continue
+                first = np.maximum(rows.column("begin").to_numpy(), 0)
+                parts = [value[i:j].tobytes() for i, j in zip(first, rows.column("end").to_numpy(), strict=True)]
+                out = {c: rows.column(c) for c in ("side", *_KEY)}
+                yield pa.record_batch(out | {"first": pa.array(first, pa.int32()), "words": pa.array(parts, pa.binary())})
+
+    dealt = texts.union(wanted).repartition("doc_id", "slot").sortWithinPartitions("doc_id", "slot", "kind")
     schema = "side int, a_doc long, a_at int, b_doc long, b_at int, first int, words binary"
-    return joined.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 _SPAN = (
@@ -495,12 +521,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     words ``start_word`` to ``end_word`` (exclusive, counted from 0) of doc_id align with those of
     src_doc_id. Words are runs without ASCII white space, A-Z lower-cased. Reported are passages of
     ``min_words`` or more with matches / longer side at least ``identity``. Repeats inside one
-    document, and between rows of one doc_id, don't count. Rows without doc_id, and null, empty or
+    document don't count. Of rows with one doc_id the one whose text has the least hash counts. Rows without doc_id, and null, empty or
     shorter texts have no passages; an empty table gives none; other columns are ignored. Every run of
     ``min_words`` words that an earlier document has is inside reported passages. Another passage is
     found if it shares a run of K + WINDOW - 1 = 24 words with the place that has its seeds first.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    docs = _one_row_each(docs.where("doc_id is not null").select("doc_id", "text"))
     places = _seeds(docs).groupBy("seed").agg(
         F.min("doc_id").alias("src_doc_id"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last"), F.min_by("more", "doc_id").alias("src_more")
     )
@@ -532,10 +558,8 @@ def _aligned(docs: DataFrame, anchors: DataFrame, min_words: int, identity: floa
     )
     wanted = side(0, "doc_id", "p", "p_end").union(side(1, "src_doc_id", "q", "q_end"))
     texts = bitmaps.mark(docs, "doc_id", wanted.select("doc_id")).where("_hit").select("doc_id", "text")
-    # rows of one doc_id count once: the least text
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    cut = _cut_texts(texts, wanted)
-    names = ["a_doc", "a_at", "b_doc", "b_at"]
+    cut = materialize(_cut_texts(texts, wanted), "cut-texts")
+    names = _KEY
     a = cut.where("side = 0").select(*names, F.col("first").alias("a_first"), F.col("words").alias("a_words"))
     b = cut.where("side = 1").select(*names, F.col("first").alias("b_first"), F.col("words").alias("b_words"))
     runs = found.select(*key, "runs")
