@@ -149,3 +149,17 @@ def test_each_copy_in_a_document_is_found(make):
     rows = [(1, " ".join(prose(20, "a") + passage)), (2, " ".join(prose(10, "b") + fuzzy + prose(200, "b") + fuzzy + prose(7, "b") + passage))]
     found = spans(sd.repeated_passages(make(rows)))
     assert found == [(2, 10, 99, 1, 21, 110), (2, 299, 388, 1, 21, 110), (2, 395, 485, 1, 20, 110)]
+
+
+def test_ends_of_many_chains_extend_like_one():
+    rng = np.random.default_rng(8)
+    pairs = []
+    for _ in range(300):
+        a = rng.integers(10, 10 + rng.integers(2, 60), rng.integers(0, sd.REACH + 1)).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, max(a.size, 1), 2) % max(a.size, 1)) if a.size and rng.random() < 0.5 else a.copy()
+        b = np.concatenate([b, rng.integers(10, 60, sd.REACH).astype(np.uint64)])[: rng.integers(0, sd.REACH + 1)]
+        if b.size and rng.random() < 0.5:
+            b[rng.integers(0, b.size)] = 5
+        pairs.append((a, b))
+    pairs += [(pairs[0][0][:0], pairs[0][1][:0]), (np.arange(48, dtype=np.uint64) + 3, np.arange(48, dtype=np.uint64) + 3)]
+    assert sd.extend_all(pairs) == [tuple(map(int, sd._extend(a, b))) for a, b in pairs] and sd.extend_all([]) == []

@@ -367,10 +367,53 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return same + i, same + j, same + (max(i, j) + score) // 2
 
 
-def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(start, end in a, start, end in b, matches) of a chain's passage."""
+def extend_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """``_extend`` of many pairs at once; no side has more than ``REACH`` words."""
+    n = len(pairs)
+    if not n:
+        return []
+    sides = []
+    for side, filler in ((0, 1), (1, 2)):  # fillers differ, so they end what is equal
+        sizes = np.array([p[side].size for p in pairs])
+        lines = np.full((n, 2 * REACH), filler, np.uint64)
+        for i, p in enumerate(pairs):
+            lines[i, : p[side].size] = p[side]
+        sides.append((lines, sizes))
+    (a, size_a), (b, size_b) = sides
+    same = np.argmax(a != b, 1)
+    shifted = same[:, None] + np.arange(REACH)
+    a, b = np.take_along_axis(a, shifted, 1), np.take_along_axis(b, shifted, 1)
+    size_a, size_b = size_a - same, size_b - same
+    active = np.minimum(size_a, size_b) >= 4
+    step = np.arange(REACH + 1, dtype=np.int16)
+    row = np.tile(-step, (n, 1))
+    outside = step > size_b[:, None]
+    best, at_i, at_j = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(1, int(size_a[active].max(initial=0)) + 1):
+        t = np.empty_like(row)
+        t[:, 0] = -i
+        t[:, 1:] = np.maximum(row[:, :-1] + np.where(b == a[:, i - 1, None], np.int16(1), np.int16(-1)), row[:, 1:] - 1)
+        row = np.maximum.accumulate(t + step, 1) - step
+        inside = np.where(outside, np.int16(-1000), row)
+        j = inside.argmax(1)
+        value = inside[np.arange(n), j]
+        better = active & (i <= size_a) & (value > best)
+        best[better], at_i[better], at_j[better] = value[better], i, j[better]
+    tail = np.where(active, (np.maximum(at_i, at_j) + best) // 2, 0)
+    return list(zip((same + at_i).tolist(), (same + at_j).tolist(), (same + tail).tolist(), strict=True))
+
+
+def _ends(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The words before a chain, last first, and those behind it."""
+    p0, _, q0 = runs[0]
+    at_a, at_b = max(last for _, last, _ in runs) + K, max(other + last - first for first, last, other in runs) + K
+    return [(a[max(p0 - REACH, 0) : p0][::-1], b[max(q0 - REACH, 0) : q0][::-1]), (a[at_a : at_a + REACH], b[at_b : at_b + REACH])]
+
+
+def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], ends: list[tuple[int, int, int]] | None = None) -> tuple[int, int, int, int, int]:
+    """(start, end in a, start, end in b, matches) of a chain's passage; ``ends`` are its extended ends, if known."""
     p0, _, q0 = runs[0]
-    left = _extend(a[:p0][::-1][:REACH], b[:q0][::-1][:REACH])
+    left, right = ends or [_extend(x, y) for x, y in _ends(a, b, runs)]
     matches = left[2]
     at_a, at_b = p0, q0
     for first, last, other in runs:
@@ -382,7 +425,6 @@ def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tup
         n = min(x.size, y.size)
         matches += int((x[:n] == y[:n]).sum())
         at_a, at_b = max(at_a, end), max(at_b, other + end - first)
-    right = _extend(a[at_a : at_a + REACH], b[at_b : at_b + REACH])
     return p0 - left[0], at_a + right[0], q0 - left[1], at_b + right[1], matches + right[2]
 
 
@@ -416,7 +458,7 @@ def _equal_parts(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]],
 
 
 def passages(
-    a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], min_words: int, identity: float
+    a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], min_words: int, identity: float, ends: list[tuple[int, int, int]] | None = None
 ) -> list[tuple[int, int, int, int, int]]:
     """(start, end in a, start, end in b, matches) of a chain's passages.
 
@@ -427,7 +469,7 @@ def passages(
     def fits(x: tuple[int, int, int, int, int]) -> bool:
         return x[1] - x[0] >= min_words and x[4] / max(x[1] - x[0], x[3] - x[2]) >= identity
 
-    whole = align(a, b, runs)
+    whole = align(a, b, runs, ends)
     if fits(whole):
         return [whole]
     found: list[tuple[int, int, int, int, int]] = []
@@ -566,12 +608,15 @@ def _aligned(docs: DataFrame, anchors: DataFrame, min_words: int, identity: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            rows = []
+            rows, chained = [], []
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["a_words"], np.uint64), np.frombuffer(r["b_words"], np.uint64)
                 f, g, flat = r["a_first"], r["b_first"], r["runs"]
-                steps = [(flat[i] - f, flat[i + 1] - f, flat[i + 2] - g) for i in range(0, len(flat), 3)]
-                for s, e, t, u, matches in passages(x, y, steps, min_words, identity):
+                chained.append((x, y, [(flat[i] - f, flat[i + 1] - f, flat[i + 2] - g) for i in range(0, len(flat), 3)]))
+            ends = extend_all([end for c in chained for end in _ends(*c)])
+            for i, (r, (x, y, steps)) in enumerate(zip(batch.select(["a_doc", "a_first", "b_doc", "b_first"]).to_pylist(), chained, strict=True)):
+                f, g = r["a_first"], r["b_first"]
+                for s, e, t, u, matches in passages(x, y, steps, min_words, identity, ends[2 * i : 2 * i + 2]):
                     share = matches / max(e - s, u - t)
                     rows.append((r["a_doc"], s + f, e + f, r["b_doc"], t + g, u + g, matches, min(share, 1.0)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
