@@ -140,3 +140,18 @@ def test_keyword_baseline(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")
     assert [r[0] for r in rows.select(keyword_department(F.col("text"))).collect()] == [python(t) for t in texts]
+
+
+def test_upload_rejects_under_any_projection(spark, tmp_path):
+    from ticketloom.sources.files import read_upload_with_rejects
+
+    (tmp_path / "a.csv").write_text('id,text,channel\nT1,   ,x\nT2, good  ,\nT4,"",c\nT5,"a ""b"", c",d\n')
+    (tmp_path / "b.csv").write_text("id,text,channel\nT3,only,hi,more\nT9,few\n")
+    accepted, rejected = read_upload_with_rejects(spark, str(tmp_path), ["id", "text", "channel"])
+    assert sorted((r.id, r.text) for r in accepted.collect()) == [("T2", "good"), ("T5", 'a "b", c')]
+    want = [("blank", ""), ("blank", "   "), ("malformed", "T3,only,hi,more"), ("malformed", "T9,few")]
+    assert sorted((r.reason, r.record) for r in rejected.select("reason", "record").collect()) == want
+    assert sorted((r.id or "", r.reason) for r in rejected.collect()) == [("", "malformed"), ("", "malformed"), ("T1", "blank"), ("T4", "blank")]
+    assert accepted.select("id").count() == 2
+    accepted, rejected = read_upload_with_rejects(spark, str(tmp_path / "a.csv"), ["first", "second", "third"])
+    assert accepted.count() == 4 and {r.text for r in accepted.collect()} == {"T1", "T2", "T4", "T5"} and rejected.count() == 0

@@ -103,6 +103,8 @@ def test_training_minimises_the_stated_objective(spark, labelled, trained):
     model, _ = trained
     rows = stratified_split(labelled).filter("split = 'train'").withColumn("norm", normalize(F.col("text")))
     table = feature_table(rows, model.vocab, "department").collect()
+    assert sum(r.n for r in table) == rows.count() > len(table)  # equal rows of one class are one row
+    table = [r for r in table for _ in range(r.n)]
     x = np.stack([r.features.toArray() for r in table])
     classes = model.classes["department"]
     assert classes == sorted(classes) and np.allclose(np.linalg.norm(x, axis=1), 1)

@@ -255,8 +255,9 @@ FROM verdict"""
 SIMILAR = f"""
 WITH {DOCS_NORMED}, {TERMS}, {weights(1, 'tf')},
 dots AS (SELECT a.id AS q, b.id AS d, sum(a.weight * b.weight) AS s FROM weighted a JOIN weighted b USING (term) GROUP BY ALL),
-ranked AS (SELECT q, d, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, d) AS rank
-  FROM dots JOIN normed x ON x.id = q JOIN normed y ON y.id = d WHERE x.norm <> y.norm)
+others AS (SELECT x.id AS q, y.id AS d, coalesce(s, 0.0::DOUBLE) AS s FROM normed x JOIN normed y ON x.norm <> y.norm AND x.norm <> ''
+  LEFT JOIN dots ON dots.q = x.id AND dots.d = y.id),
+ranked AS (SELECT q, d, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, d) AS rank FROM others)
 SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, d AS similar_id, round(s, 3) AS score, substring(text, 1, 240) AS text
 FROM ranked JOIN normed n ON n.id = d WHERE rank <= 3"""
 
@@ -289,6 +290,10 @@ SELECT o_orderkey, urgency, {sla('urgency')} AS sla_hours, c + {hours(sla('urgen
 SELECT id, created_at, channel, language, department, urgency, confidence, needs_human, sla_hours,
   CAST(floor((epoch_us(due_at) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0::DOUBLE) AS BIGINT) AS sla_remaining_min, status, text
 FROM inbox WHERE department = 'Billing & Payments' AND NOT needs_human ORDER BY id DESC LIMIT 200""",
+        "q07c_inbox_filters": " UNION ALL ".join(
+            f"""SELECT * FROM (WITH {INBOX} SELECT '{name}' AS listing, id, language, urgency, needs_human, confidence FROM inbox WHERE {wanted} ORDER BY id DESC LIMIT 200)"""
+            for name, wanted in (("language", "language = 'hinglish'"), ("urgency", "urgency = 'P1'"), ("human", "needs_human"), ("all", "language = 'en' AND urgency = 'P2' AND needs_human"), ("none", "true"))
+        ),
         "q07b_inbox_point_lookup": f"WITH {INBOX} SELECT id, text, status, due_at, needs_human FROM inbox WHERE id = 7",
         "q08_override_current_state": f"""WITH {INBOX}, {CORRECTIONS}, {CURRENT}
 SELECT id, department, urgency, sla_hours, due_at, status, needs_human FROM current_inbox""",
@@ -344,6 +349,11 @@ SELECT row_no, CAST(id AS VARCHAR) AS ext_id, coalesce(channel, 'email') AS chan
   created_at + {hours(sla("coalesce(nullif(urgency, ''), 'P3')"))} AS due_at,
   coalesce(nh, false) AS needs_human, CASE WHEN nh THEN 'needs_human' ELSE 'open' END AS status
 FROM up WHERE {strip('text')} <> ''""",
+        "q19b_rejected_rows": f"""WITH {TICKETS}
+SELECT id AS row_no, 'T' || id AS ext_id, 'blank' AS reason, CASE WHEN id % 3 = 0 THEN '' ELSE '  ' || chr(160) END AS record FROM tickets WHERE id % 5 = 2
+UNION ALL SELECT id, NULL, 'malformed', 'T' || id || ',only,' || language || ',' || id || ',too,many' FROM tickets WHERE id % 7 = 3""",
+        "q19c_upload_scan": f"""WITH {TICKETS}
+SELECT CASE WHEN id % 4 = 0 THEN '' ELSE 'say "' || text || '", ok' END AS text, CAST(id AS VARCHAR) AS id, nullif(channel, 'chat') AS channel FROM tickets""",
         "q20_prompt_export": f"""WITH {DRAFTED}
 SELECT id, 'language=' || language || chr(10) || 'department=' || department || chr(10) || 'urgency=' || urgency || chr(10)
   || 'SLA_HOURS=' || {sla('urgency')} || chr(10) || chr(10) || 'Ticket:' || chr(10) || {strip('text')} || chr(10) || chr(10)
@@ -357,6 +367,9 @@ SELECT row_number() OVER (ORDER BY created_at, CAST(id AS VARCHAR)) AS id, CAST(
 SELECT date_trunc('day', created_at)::TIMESTAMP AS window_start, department, count(*) AS n FROM tickets GROUP BY 1, 2""",
         "q25_csv_round_trip": f"""WITH {TICKETS}
 SELECT 'T' || id AS id, text, department, urgency, language, channel, created_at::TIMESTAMP AS timestamp FROM tickets""",
+        "q25b_extra_round_trip": f"""WITH {TICKETS}
+SELECT id, department AS label, round(id % 97 / 97.0::DOUBLE, 6) AS p, urgency AS second_label, CASE WHEN id % 3 = 0 THEN NULL ELSE 'because "' || language || '" \\ ' || channel END AS rationale,
+  CAST(id % 4 AS INTEGER) AS n_explain, CASE WHEN id % 4 > 0 THEN language END AS first_explain FROM tickets""",
         "q26_store_round_trip": f"""WITH {TICKETS_NORMED},
 inbox AS (SELECT id, id + 1 AS tid, created_at, {keyword('norm')} AS department, urgency, 'open' AS status FROM normed),
 {CORRECTIONS.replace("accepted AS", "acc0 AS")},

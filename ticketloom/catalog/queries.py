@@ -25,11 +25,12 @@ from ticketloom.functions import (
 from ticketloom.operators import evaluate, inbox, kpi, overrides, replies, split, tfidf
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.keywords import keyword_department, keyword_hits
+from ticketloom.operators.model import fit
 from ticketloom.operators.similar import similar_tickets
 from ticketloom.plans.routing import route
 from ticketloom.plans.training import train
 from ticketloom.session import cut_lineage, shared_dir
-from ticketloom.sources.files import read_labelled_csv, write_csv
+from ticketloom.sources.files import pack_extra, read_labelled_csv, read_upload_csv, read_upload_with_rejects, unpack_extra, write_csv
 from ticketloom.sources.store import TicketStore
 from ticketloom.sources.synthetic import event_tickets
 from ticketloom.streaming.arrivals import department_counts, publish_counts, read_counts, store_arrivals
@@ -319,6 +320,64 @@ def batch_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("row_no", "ext_id", "channel", "text", "urgency", "sla_hours", "due_at", "needs_human", "status")
 
 
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upload with blank texts and with records of too many cells gives back as rejects."""
+    path, odd, key = _folder(spark, "upload"), F.pmod("id", F.lit(5)) == 2, F.col("id").cast("string")
+    rows = tables.tickets(spark, sf_dir)
+    blank = F.when(F.pmod("id", F.lit(3)) == 0, F.lit("")).otherwise(F.lit("  \u00a0"))
+    good = rows.select(F.concat(F.lit("T"), key).alias("id"), F.when(odd, blank).otherwise(F.col("text")).alias("text"), "channel", key.alias("row_no"))
+    write_csv(good, path)
+    parts = F.concat_ws(",", F.concat(F.lit("T"), key), F.lit("only"), "language", key, F.lit("too"), F.lit("many"))
+    bad = rows.filter(F.pmod("id", F.lit(7)) == 3).select(parts.alias("value"))
+    # a file whose first line is dropped as its header
+    header = spark.createDataFrame([("id,text,channel,row_no",)], "value string")
+    header.unionByName(bad).coalesce(1).write.mode("append").text(path)
+    _, rejected = read_upload_with_rejects(spark, path, ["id", "text", "channel", "row_no"])
+    number = F.coalesce(F.col("row_no"), F.get(F.split("record", ","), F.lit(3))).cast("long")
+    return rejected.select(number.alias("row_no"), F.col("id").alias("ext_id"), "reason", "record")
+
+
+def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An uploaded file whose first column, by whatever name, is the text."""
+    path = _folder(spark, "upload")
+    said = F.concat(F.lit('say "'), "text", F.lit('", ok'))
+    rows = tables.tickets(spark, sf_dir).select(F.when(F.pmod("id", F.lit(4)) != 0, said).alias("message"), "id", F.nullif("channel", F.lit("chat")).alias("channel"))
+    write_csv(rows, path)
+    return read_upload_csv(spark, path)
+
+
+def extra_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The explanatory fields packed into one text column, written, read and unpacked."""
+    number, path = F.col("id"), _folder(spark, "packed")
+    part = F.round(F.pmod(number, F.lit(97)) / F.lit(97.0), 6)
+    ranked = lambda label: F.array(F.struct(F.col(label).alias("label"), part.alias("p")))
+    why = F.when(F.pmod(number, F.lit(3)) != 0, F.concat(F.lit('because "'), "language", F.lit('" \\ '), "channel"))
+    words = F.array_repeat(F.col("language"), F.pmod(number, F.lit(4)).cast("int"))
+    rows = tables.tickets(spark, sf_dir).select("id", ranked("department").alias("department_top3"), ranked("urgency").alias("urgency_top3"), why.alias("rationale"), words.alias("explain"))
+    pack_extra(rows).select("id", "extra").write.parquet(path)
+    top = "array<struct<label:string,p:double>>"
+    back = unpack_extra(spark.read.parquet(path), f"department_top3 {top}, urgency_top3 {top}, rationale string, explain array<string>")
+    first = F.get("extra.department_top3", F.lit(0))
+    return back.select(
+        "id", first["label"].alias("label"), first["p"].alias("p"), F.get("extra.urgency_top3", F.lit(0))["label"].alias("second_label"), "extra.rationale",
+        F.size("extra.explain").alias("n_explain"), F.get("extra.explain", F.lit(0)).alias("first_explain"),
+    )
+
+
+def inbox_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest tickets under each filter of the listing, alone and together."""
+    rows = tables.inbox(spark, sf_dir)
+    wanted = {
+        "language": {"language": "hinglish"}, "urgency": {"urgency": "P1"}, "human": {"needs_human": inbox.human_choice("needs human")},
+        "all": {"language": "en", "urgency": "P2", "needs_human": True}, "none": {"language": inbox.choice(""), "urgency": inbox.choice(inbox.ALL)},
+    }
+    out = None
+    for name, filters in wanted.items():
+        one = inbox.list_tickets(rows, as_of(), limit=200, **filters).select(F.lit(name).alias("listing"), "id", "language", "urgency", "needs_human", "confidence")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "events").select("event_id", "ts")
     return assign_ids(rows, base=1_000_000, order_by=["ts", "event_id"], id_col="ticket_id")
@@ -340,7 +399,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the labelled tickets, then route every ticket with similar past ones."""
     labelled = tables.tickets(spark, sf_dir)
-    model, _ = train(labelled)
+    parts = split.stratified_split(labelled).withColumn("norm", normalize(F.col("text")))
+    model = fit(parts.filter(F.col("split") == "train"))
     arriving = labelled.select("id", "created_at", "text", "channel")
     routed = route(arriving, model, corpus=labelled)
     return routed.select(

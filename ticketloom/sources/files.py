@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from ticketloom.functions.text import is_blank, strip
 from ticketloom.sources.synthetic import generate
 
 LABELLED_SCHEMA = (
@@ -13,7 +14,7 @@ LABELLED_SCHEMA = (
 )
 METRIC_SCHEMA = "split string, target string, class string, metric string, value double"
 MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "quote": "\"", "escape": "\"", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 EXTRA_FIELDS = ["department_top3", "urgency_top3", "rationale", "similar", "explain"]
 
 
@@ -39,6 +40,26 @@ def read_upload_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     return rows.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *optional)
 
 
+def read_upload_with_rejects(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) records of uploaded files with the given columns.
+
+    ``text`` is the column of that name or else the first one. Rejected are records that have more or
+    fewer cells than columns (``malformed``) and those whose text is blank (``blank``): their columns, the
+    reason, and the record as it stands in the file or the blank text. Accepted texts are stripped.
+    """
+    schema = StructType([StructField(c, StringType()) for c in [*columns, "_corrupt"]])
+    # with column pruning a query of few columns would not see that a record has too many cells
+    options = CSV_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "columnPruning": False}
+    rows = spark.read.options(**options).schema(schema).csv(path)
+    text = F.coalesce(F.col("text" if "text" in columns else columns[0]), F.lit(""))
+    reason = F.when(F.col("_corrupt").isNotNull(), "malformed").when(is_blank(text), "blank")
+    rows = rows.withColumns({"text": text, "reason": reason, "record": F.coalesce("_corrupt", text)}).drop("_corrupt")
+    accepted = rows.filter("reason IS NULL").withColumn("text", strip(F.col("text"))).drop("reason", "record")
+    rejected = rows.filter("reason IS NOT NULL")
+    none = {c: F.when(F.col("reason") == "blank", F.col(c)) for c in columns}
+    return accepted, rejected.withColumns(none)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     nested = (ArrayType, MapType, StructType)
     return df.select(
