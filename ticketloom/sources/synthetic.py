@@ -25,7 +25,7 @@ TEMPLATES: list[tuple[str, str, str, str]] = [
     (BILLING, "P3", "en", "Invoice {n} carries the wrong GST number, kindly reissue it."),
     (BILLING, "P3", "en", "Why did my monthly bill rise to {amt} without any notice?"),
     (BILLING, "P4", "en", "Where can I download old invoices, for example number {n}?"),
-    (BILLING, "P1", "en", "Double payment of {amt} on invoice {n}, reverse it now or I will go to the ombudsman."),
+    (BILLING, "P1", "en", "The canteen till billed a whole school bus {amt} for tea, payment slip {n}, the driver is stranded."),
     (BILLING, "P1", "hi", "वेतन का पूरा भुगतान {amt} किसी और विक्रेता {n} को चला गया, आज ही रिफंड चाहिए।"),
     (BILLING, "P2", "hi", "किस्त की रकम {amt} से बढ़कर आई है, भुगतान का हिसाब भेजिए।"),
     (BILLING, "P3", "hi", "बिल {n} में गलत राशि लिखी है, कृपया सुधारें।"),
@@ -47,24 +47,24 @@ TEMPLATES: list[tuple[str, str, str, str]] = [
     (ACCOUNT, "P2", "hinglish", "Account {n} ka fingerprint login naye tablet par register nahi hota, kaise jodein."),
     (ACCOUNT, "P3", "hinglish", "KYC me PAN number galat dikha raha hai, kaise theek karo."),
     (TECHNICAL, "P1", "en", "Scanner screen freezes the app at all gates of hall {n}, visitors are queueing outside."),
-    (TECHNICAL, "P2", "en", "Android build hangs on the payment page since the last update."),
+    (TECHNICAL, "P2", "en", "The app on our weighing scale prints error {n} on every sack of rice since noon."),
     (TECHNICAL, "P3", "en", "Reports page loads slowly and shows error {n} now and then."),
     (TECHNICAL, "P4", "en", "Dark theme hides the save button on small screens."),
     (TECHNICAL, "P1", "hi", "मेले के द्वार {n} पर ऐप का स्कैनर जम गया है, क्रैश के बाद लोग बाहर खड़े हैं।"),
     (TECHNICAL, "P3", "hi", "ऐप में त्रुटि {n} बार बार दिखती है।"),
     (TECHNICAL, "P2", "hinglish", "Photo jodte hi app crash hota hai, gallery wala page khaali rehta hai."),
-    (TECHNICAL, "P2", "hinglish", "Android phone me app hang hai, kya problem chal rahi hai?"),
+    (TECHNICAL, "P2", "hinglish", "Tractor wale tablet me app crash hota hai jab khet ka naksha {n} kholo."),
     (TECHNICAL, "P3", "hinglish", "Screen par error {n} dikha raha hai, kya karo samjhao."),
     (ORDERS, "P1", "en", "Insulin pack in order {n} was due yesterday and tracking shows nothing."),
-    (ORDERS, "P2", "en", "Parcel {n} is marked delivered but nobody came to my door."),
+    (ORDERS, "P2", "en", "Delivery {n} of saplings sits in the sun at the depot, please water them before transport."),
     (ORDERS, "P2", "en", "Tracking page https://track.example.in/p/{n} has not moved for five days."),
     (ORDERS, "P3", "en", "I received the wrong colour in order {n}, arrange an exchange."),
     (ORDERS, "P2", "hi", "ऑर्डर {n} अब तक नहीं पहुँचा, कब आएगा?"),
     (ORDERS, "P3", "hi", "सामान टूटा हुआ मिला, बदलकर दीजिए, ऑर्डर {n}।"),
-    (ORDERS, "P2", "hinglish", "Mera order {n} abhi tak nahi aaya, saman kab milega?"),
+    (ORDERS, "P2", "hinglish", "Shaadi ke order {n} ki delivery pandal ke bajay purane godown chali gayi."),
     (ORDERS, "P3", "hinglish", "Saman galat aaya hai, order {n} exchange krdo."),
     (ORDERS, "P4", "hinglish", "Delivery ka time kaise badle, order {n} hai."),
-    (FRAUD, "P1", "en", "A phishing SMS with your logo asks customers for the OTP, link https://secure-pay.example.com/{n} is live."),
+    (FRAUD, "P1", "en", "A scam raffle at https://lucky-goat.example.org/{n} sells fake tickets for our village fair, report the fraud."),
     (FRAUD, "P1", "en", "Fake seller {n} took {amt} outside the app and vanished, this is fraud."),
     (FRAUD, "P1", "en", "The driver threatened me at my home after delivery {n}, I feel unsafe."),
     (FRAUD, "P2", "en", "I think profile {n} is a scam run by a bot, please look."),
@@ -73,14 +73,14 @@ TEMPLATES: list[tuple[str, str, str, str]] = [
     (FRAUD, "P1", "hinglish", "Fraud ho gaya bhai, fake link se {amt} nikal gaye hai."),
     (FRAUD, "P1", "hinglish", "Nakli kiraye ka fraud advert {n} chal raha hai, scam hai, log {amt} token de rahe hain."),
     (FEEDBACK, "P4", "en", "Thanks, agent {n} solved my problem with great patience."),
-    (FEEDBACK, "P4", "en", "Suggestion: let the dashboard remember my last filter."),
+    (FEEDBACK, "P4", "en", "Suggestion: let the weather tile show tide times for fishing boats."),
     (FEEDBACK, "P3", "en", "The seed calendar mixes up monsoon months, a printed chart would help."),
     (FEEDBACK, "P4", "hi", "आपकी सेवा बहुत अच्छी है, धन्यवाद।"),
-    (FEEDBACK, "P3", "hi", "मदद केंद्र में हिंदी लेख चाहिए, ची\u095bें खोजना कठिन है।"),
+    (FEEDBACK, "P3", "hi", "सुझाव है कि मौसम की ची\u095bें बड़े अक्षरों में छापें, दादाजी पढ़ नहीं पाते।"),
     (FEEDBACK, "P4", "hinglish", "Mausam wala widget dekhkar bachche khush, accha laga."),
     (FEEDBACK, "P4", "hinglish", "Bahut accha support mila, dhanyavad bhai."),
 ]
-AMOUNTS = ["₹349", "₹1,199", "₹2,750", "₹\u00a079"]
+AMOUNTS = ["Rs 52.50", "₹\u00a06,04,000", "INR 18"]
 # Ways a ticket may go on, by language; an empty one leaves it as it is.
 SUFFIXES: dict[str, list[str]] = {
     "en": ["", " It began on gate {n}.", " My neighbour saw it too.", "", " I write this from the train."],
