@@ -3,7 +3,6 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.sources.manifest import Manifest
 from ticketloom.sources.store import TicketStore
 from ticketloom.streaming.arrivals import department_counts, publish_counts, read_counts, store_arrivals
 
@@ -67,12 +66,29 @@ def test_replayed_corrections_are_not_compared_with_themselves(spark, tmp_path):
     assert given.first().pred_dept == "Seen"
 
 
-def test_manifest_numbers_are_taken_once(spark, tmp_path):
-    one, two = (Manifest(spark, str(tmp_path / "m")) for _ in range(2))
-    assert one.reserve("a", 0, 10) == 1
-    two._known = []  # a writer that hasn't seen the entry
-    assert not two._append({"kind": "reserve", "writer": "b", "batch": 0, "first": 1, "n": 5})
-    assert two.reserve("b", 0, 5) == 11 and one.reserve("a", 0, 10) == 1
+def test_writers_that_claim_the_same_ids_move(spark, tmp_path, monkeypatch):
+    a, b = (TicketStore(spark, str(tmp_path / "s")) for _ in range(2))
+    checked = TicketStore._alone
+
+    def late(self, table, key, first, n):
+        """Another writer's claim of the same ids comes in between claim and check, once."""
+        monkeypatch.setattr(TicketStore, "_alone", checked)
+        b._replace(table, "ranges", spark.createDataFrame([(first, 4)], "first bigint, n bigint"), ("b", 0))
+        return checked(self, table, key, first, n)
+
+    monkeypatch.setattr(TicketStore, "_alone", late)
+    assert a._first_id("tickets", ("a", 0), 10) == 11
+    assert b._first_id("tickets", ("b", 0), 4) == 1 and a._first_id("tickets", ("a", 0), 10) == 11
+    assert b._first_id("tickets", ("b", 0), 5) == 21  # other rows under the same key get ids of their own
+
+
+def test_a_batch_written_again_without_rows_is_empty(spark, tmp_path):
+    store = TicketStore(spark, str(tmp_path / "s"))
+    store.insert(arrivals(spark, 0, 3), 0, writer="7")
+    store.insert(arrivals(spark, 3, 2), 0, writer="007")
+    assert store.insert(arrivals(spark, 0, 0), 0, writer="7").count() == 0
+    assert sorted(r.id for r in store.raw_tickets().collect()) == [4, 5]
+    assert store.insert(arrivals(spark, 5, 1), 1, writer="7").first().id == 6
 
 
 @pytest.mark.parametrize("parts", [1, 3])

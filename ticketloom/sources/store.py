@@ -1,22 +1,21 @@
-"""Inbox and override log as Parquet tables, written in batches that never replace each other's rows.
+"""Inbox and override log as Parquet tables that are written in batches.
 
-A batch is known by its writer and its number. Its rows go to a folder of their own and count once
-the manifest names that folder, so a job that fails half-way leaves nothing behind that is read, and
-several writers may append at once. The same batch written again takes the same ids and replaces
-only itself.
+Each batch is a partition (writer, batch) and written with dynamic partition overwrite: the same batch
+written again replaces only itself, and no other batch is touched. A second small table holds the id
+range of every batch. A new range starts behind the largest one; it counts once no other batch turns
+out to have claimed the same ids, so of two writers that number at the same moment at least one moves.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.inbox import insert_defaults
 from ticketloom.operators.overrides import AUDIT_COLUMNS, audit_log, check_overrides, current_state
-from ticketloom.sources.manifest import Manifest
 from ticketloom.taxonomy import TAXONOMY, Taxonomy
 
 RANKED = "array<struct<label:string,p:double>>"
@@ -33,19 +32,58 @@ OVERRIDE_SCHEMA = (
     "override_urg string, note string"
 )
 SCHEMAS = {"tickets": INBOX_SCHEMA, "overrides": OVERRIDE_SCHEMA}
+RANGE_SCHEMA = "first bigint, n bigint"
+BATCH = ["writer", "batch"]
+CLAIMS = 20
 Key = tuple[str, int]
 
 
 class TicketStore:
     def __init__(self, spark: SparkSession, root: str, taxonomy: Taxonomy = TAXONOMY):
         self.spark, self.root, self.taxonomy = spark, root.rstrip("/"), taxonomy
-        self._manifests = {t: Manifest(spark, f"{self.root}/{t}/manifest") for t in SCHEMAS}
+        for table, schema in SCHEMAS.items():
+            for part, columns in (("rows", schema), ("ranges", RANGE_SCHEMA)):
+                empty = spark.createDataFrame([], f"{columns}, writer string, batch bigint")
+                empty.write.mode("ignore").partitionBy(*BATCH).parquet(f"{self.root}/{table}/{part}")
 
-    def _table(self, table: str, before: Key | None = None) -> DataFrame:
-        folders = self._manifests[table].folders(before)
-        if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+    def _read(self, table: str, part: str) -> DataFrame:
+        columns = SCHEMAS[table] if part == "rows" else RANGE_SCHEMA
+        return self.spark.read.schema(f"{columns}, writer string, batch bigint").parquet(f"{self.root}/{table}/{part}")
+
+    def _replace(self, table: str, part: str, rows: DataFrame, key: Key) -> None:
+        placed = rows.withColumns({"writer": F.lit(key[0]), "batch": F.lit(key[1]).cast("bigint")})
+        out = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(*BATCH).parquet(f"{self.root}/{table}/{part}")
+
+    def _table(self, table: str) -> DataFrame:
+        return self._read(table, "rows").filter("id IS NOT NULL").drop(*BATCH)
+
+    @staticmethod
+    def _is(key: Key) -> Column:
+        return (F.col("writer") == key[0]) & (F.col("batch") == key[1])
+
+    def _range(self, table: str, key: Key) -> Row | None:
+        """The id range that the batch has claimed."""
+        return self._read(table, "ranges").filter(self._is(key)).first()
+
+    def _alone(self, table: str, key: Key, first: int, n: int) -> bool:
+        """Whether no other batch claims one of the ids."""
+        last = F.col("first") + F.col("n") - 1
+        others = self._read(table, "ranges").filter(~self._is(key))
+        return others.filter((F.col("first") <= first + n - 1) & (last >= first)).isEmpty()
+
+    def _first_id(self, table: str, key: Key, n: int) -> int:
+        """First of the batch's ``n`` ids; the same ids again if it is written again with as many rows."""
+        own = self._range(table, key)
+        if own and own["n"] == n and self._alone(table, key, own["first"], n):
+            return own["first"]
+        for _ in range(CLAIMS):
+            last = F.max(F.col("first") + F.col("n") - 1)
+            first = 1 + self._read(table, "ranges").agg(F.coalesce(last, F.lit(0))).first()[0]
+            self._replace(table, "ranges", self.spark.createDataFrame([(first, n)], RANGE_SCHEMA), key)
+            if self._alone(table, key, first, n):
+                return first
+        raise RuntimeError(f"other writers claimed the same ids {CLAIMS} times; write the batch again")
 
     @staticmethod
     def _key(writer: str | None, batch_id: int | None) -> Key:
@@ -53,17 +91,20 @@ class TicketStore:
         return (writer or ("default" if batch_id is not None else uuid.uuid4().hex), batch_id or 0)
 
     def _number(self, table: str, rows: DataFrame, key: Key, order_by: list[str] | None) -> DataFrame:
-        """Ids from the range that the manifest keeps for this batch."""
+        """Ids from the range that is kept for this batch."""
         numbered = assign_ids(rows, 0, order_by)
-        first = self._manifests[table].reserve(*key, numbered.count())
+        first = self._first_id(table, key, numbered.count())
         return numbered.withColumn("id", F.col("id") + F.lit(first - 1))
 
     def _write(self, table: str, rows: DataFrame, key: Key) -> DataFrame:
-        folder = f"batch-{uuid.uuid4().hex}"
-        path = f"{self.root}/{table}/{folder}"
-        rows.to(self.spark.createDataFrame([], SCHEMAS[table]).schema).write.parquet(path)
-        self._manifests[table].commit(*key, folder)
-        return self.spark.read.schema(SCHEMAS[table]).parquet(path)
+        written = Observation()
+        schema = self.spark.createDataFrame([], SCHEMAS[table]).schema
+        self._replace(table, "rows", rows.to(schema).observe(written, F.count(F.lit(1)).alias("n")), key)
+        if not written.get.get("n"):
+            # Without rows nothing would be overwritten; a row without id stands for the empty batch.
+            empty = self.spark.createDataFrame([tuple(None for _ in schema)], schema)
+            self._replace(table, "rows", empty, key)
+        return self._read(table, "rows").filter(self._is(key) & F.col("id").isNotNull()).drop(*BATCH)
 
     def number(self, arriving: DataFrame, batch_id: int, order_by: list[str] | None = None, writer: str | None = None) -> DataFrame:
         """Give arriving rows their ticket ids. Done before routing, the sort reads raw rows only."""
@@ -127,7 +168,9 @@ class TicketStore:
         pred_urg; where they aren't null they are logged instead.
         """
         key = self._key(writer, batch_id)
-        now = current_state(self.raw_tickets(), self._table("overrides", key), self.taxonomy)
+        own, logged = self._range("overrides", key), self.overrides()
+        before = logged.filter(F.col("id") < own["first"]) if own else logged
+        now = current_state(self.raw_tickets(), before, self.taxonomy)
         _, rejected = check_overrides(corrections, now)
         given = [c for c in ("pred_dept", "pred_urg") if c in corrections.columns]
         log = audit_log(corrections.drop(*given), now).withColumnRenamed("id", "_arrival")
