@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import inbox
-from ticketloom.operators.similar import _representatives
+from ticketloom.functions import normalize
+from ticketloom.operators.similar import _representatives, append_index, read_index, save_index, search_index, similar_tickets
 from ticketloom.operators.overrides import latest_override
 from ticketloom.plans.routing import route
 from ticketloom.plans.training import train
@@ -38,6 +39,23 @@ def test_routing_without_corpus_moves_no_row(spark, stored):
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_routing_a_batch_reads_no_text_of_the_indexed_corpus(spark, stored, tmp_path):
+    past = stored.raw_tickets().select("id", "text", "department", "urgency", "language").withColumn("norm", normalize(F.col("text")))
+    model, _ = train(past)
+    save_index(past.filter("id <= 200"), f"{tmp_path}/index")
+    append_index(past.filter("id > 200"), f"{tmp_path}/index")
+    batch = spark.createDataFrame([(1001, "payment failed for my order"), (1002, "")], "id bigint, text string")
+    index = read_index(spark, f"{tmp_path}/index")
+    found = {r.id: len(r.similar) for r in route(batch, model, index).select("id", "similar").collect()}
+    assert found == {1001: 3, 1002: 0}
+    for df in (index.vectors, index.summary, index.lists, index.reps, index.pool):
+        text = plan(df)
+        assert f"{tmp_path}/index" in text and stored.root not in text
+    whole = search_index(batch.withColumn("norm", F.col("text")), index).orderBy("query_id", "rank").collect()
+    vocab = index.vocab
+    assert whole == similar_tickets(batch.withColumn("norm", F.col("text")), past, 3, vocab=vocab).orderBy("query_id", "rank").collect()
+
+
 def test_inbox_listing_pushes_filters_and_takes_top_rows(spark, stored):
     rows = inbox.list_tickets(stored.raw_tickets(), F.lit("2026-10-01").cast("timestamp"), department="Feedback / General")
     text = plan(inbox.keep_columns(rows, ["id", "department", "urgency", "sla_remaining_min"]))

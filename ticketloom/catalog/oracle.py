@@ -340,6 +340,7 @@ JOIN (SELECT split, round({recall}, 6) AS p1_recall, round(avg((department = pre
   FROM labels JOIN documents USING (doc_id)), {report('ql', 'given', 'gold', 'pred', ('0', '1'))}
 SELECT split, class, metric, round(value, 6) AS value FROM ql_report""",
         "q18_similar_topk": SIMILAR,
+        "q18c_similar_saved_index": SIMILAR,
         "q19_batch_defaults": f"""WITH {TICKETS},
 up AS (SELECT id AS row_no, CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS id, CASE WHEN id % 5 = 1 THEN NULL ELSE channel END AS channel,
   CASE WHEN id % 5 = 2 THEN '   ' ELSE ' ' || text || chr(10) END AS text, CASE WHEN id % 5 = 3 THEN '' ELSE urgency END AS urgency,

@@ -26,7 +26,7 @@ from ticketloom.operators import evaluate, inbox, kpi, overrides, replies, split
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.keywords import keyword_department, keyword_hits
 from ticketloom.operators.model import fit
-from ticketloom.operators.similar import similar_tickets
+from ticketloom.operators.similar import append_index, read_index, save_index, search_index, similar_tickets
 from ticketloom.plans.routing import route
 from ticketloom.plans.training import train
 from ticketloom.session import cut_lineage, shared_dir
@@ -299,6 +299,15 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_tickets(docs, docs, k=3, payload=F.struct(preview(F.col("text")).alias("text")))
 
 
+def similar_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a saved index that took them in two parts."""
+    docs, folder = _normed_documents(spark, sf_dir), f"{_folder(spark, 'similar-index')}/index"
+    shown, odd = F.struct(preview(F.col("text")).alias("text")), F.pmod("id", F.lit(2)) == 1
+    save_index(docs.filter(odd), folder, 3, payload=shown, vocab=tfidf.fit_vocabulary(docs, "id", "norm"))
+    append_index(docs.filter(~odd), folder, payload=shown)
+    return search_index(docs, read_index(spark, folder), 3)
+
+
 def similar_past_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.labelled(spark, sf_dir)
     return similar_tickets(rows, rows, k=3)

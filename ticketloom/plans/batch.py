@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.inbox import batch_fields
 from ticketloom.operators.model import TicketModel
+from ticketloom.operators.similar import SimilarIndex
 from ticketloom.plans.routing import route
 from ticketloom.session import materialize
 from ticketloom.sources.files import read_upload_csv, write_csv
@@ -21,7 +22,7 @@ def route_upload(
     path: str,
     model: TicketModel,
     default_channel: str = DEFAULT_CHANNEL,
-    corpus: DataFrame | None = None,
+    corpus: DataFrame | SimilarIndex | None = None,
     store: TicketStore | None = None,
     export: str | None = None,
     multi_line: bool = False,
