@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import normalize
 from ticketloom.operators import evaluate
-from ticketloom.operators.model import feature_table, load_model, save_model, score
+from ticketloom.operators.model import feature_table, fit_counts, load_model, save_model, score
 from ticketloom.operators.split import split_sizes, stratified_split
 from ticketloom.plans.batch import route_upload
 from ticketloom.plans.routing import PREDICTION_COLUMNS, apply_labels, route
@@ -50,10 +50,40 @@ def test_split_is_exact_complete_and_stable(spark, labelled):
         n = len(splits)
         assert splits.count("train") == int(n * 0.70 + 0.5)
         assert splits.count("train") + splits.count("val") == int(n * 0.85 + 0.5)
+    deep = stratified_split(labelled, bucket_digits=1, rank_rows=1)
+    assert {r.id: (r.department, r.split) for r in deep.collect()} == got
     sizes = {r.split: r.n for r in split_sizes(stratified_split(labelled)).collect()}
     assert sum(sizes.values()) == 1200 and abs(sizes["train"] - 840) < 5
 
 
+def test_split_of_odd_rows(spark):
+    """Equal ids stay together, no stratum is a stratum, rows without id are in the last split."""
+    rows = [(i, "a") for i in range(40)] + [(i, None) for i in range(20)] + [(7, "b")] * 6 + [(None, "a")] * 5 + [(1, "c")]
+    rows = spark.createDataFrame(rows, "id bigint, department string").withColumn("_cut", F.lit("kept"))
+    got = stratified_split(rows, rank_rows=2)
+    assert got.columns == ["id", "department", "_cut", "split"] and got.count() == 72
+    n = {(r.department, r.split): r.n for r in got.filter("id IS NOT NULL").groupBy("department", "split").agg(F.count("*").alias("n")).collect()}
+    assert n[("a", "train")] == 28 and n[("a", "val")] == 6 and n[(None, "train")] == 14 and n[(None, "test")] == 3
+    assert [k for k in n if k[0] == "b"] == [("b", "train")] and n[("c", "train")] == 1
+    assert {r.split for r in got.filter("id IS NULL").collect()} == {"test"}
+    assert stratified_split(rows.filter("false")).count() == 0
+
+
+def test_count_model(spark):
+    train = spark.createDataFrame(
+        [(1, "pay bill", "A", "P1"), (2, "pay bill now", "A", "P2"), (3, "pay late", "B", "P2"), (4, "late ship", "B", None)],
+        "id bigint, norm string, department string, urgency string",
+    )
+    model = fit_counts(train)
+    assert model.vocab.terms == ["bill", "late", "pay bill", "pay"] and model.classes == {"department": ["A", "B"], "urgency": ["P1", "P2"]}
+    assert model.shares["department"].tolist() == [[1000, 0, 1000, 666], [0, 1000, 0, 333]]
+    assert model.shares["urgency"].tolist() == [[500, 0, 500, 333], [500, 500, 500, 666]]
+    rows = spark.createDataFrame([(1, "pay pay"), (2, "unknown"), (3, None), (4, "late")], "id bigint, norm string")
+    got = {r.id: [(x.label, x.p) for x in r.department_top3] for r in score(rows, model).collect()}
+    assert got[1] == [("A", 887 / (887 + 221)), ("B", 221 / (887 + 221))] and got[2] == got[3] == [("A", 0.5), ("B", 0.5)]
+    assert got[4] == [("B", 1001 / 1002), ("A", 1 / 1002)]
+
+
 def python_report(gold, pred, labels):
     out, n = {}, len(gold)
     per = []

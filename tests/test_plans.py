@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import inbox
+from ticketloom.operators.ids import assign_ids, places_in_order
+from ticketloom.operators.split import stratified_split
 from ticketloom.functions import normalize
 from ticketloom.operators.similar import _representatives, append_index, read_index, save_index, search_index, similar_tickets
 from ticketloom.operators.overrides import latest_override
@@ -56,6 +58,22 @@ def test_routing_a_batch_reads_no_text_of_the_indexed_corpus(spark, stored, tmp_
     assert whole == similar_tickets(batch.withColumn("norm", F.col("text")), past, 3, vocab=vocab).orderBy("query_id", "rank").collect()
 
 
+def test_numbering_sorts_no_text(spark, stored):
+    placed = stored.raw_tickets().select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    text = plan(places_in_order(placed, ["created_at", "ext_id"]))
+    read = text.split("ReadSchema:")[1].split("\n")[0]
+    assert "text" not in read and "reply" not in read and "created_at" in read
+    text = plan(assign_ids(stored.raw_tickets().drop("id")))
+    # only the counts per file move
+    assert "rangepartitioning" not in text and text.count("hashpartitioning") == text.count("hashpartitioning(_file") == 1
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_split_reads_the_rows_once(spark, stored):
+    text = plan(stratified_split(stored.raw_tickets().select("id", "department", "text")))
+    assert text.split("== Physical Plan ==")[1].split("\n\n")[0].count("Scan parquet") == 1 and "Window" not in text
+
+
 def test_inbox_listing_pushes_filters_and_takes_top_rows(spark, stored):
     rows = inbox.list_tickets(stored.raw_tickets(), F.lit("2026-10-01").cast("timestamp"), department="Feedback / General")
     text = plan(inbox.keep_columns(rows, ["id", "department", "urgency", "sla_remaining_min"]))

@@ -262,6 +262,33 @@ SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, d AS similar_id, round(s, 3
 FROM ranked JOIN normed n ON n.id = d WHERE rank <= 3"""
 
 
+def by_shares(name: str, target: str) -> str:
+    """CTE {name}_ranked (id, label, p, rk): classes of every ticket by whole-number shares of its terms."""
+    return f"""
+{name}_classes AS (SELECT DISTINCT {target} AS label FROM train),
+{name}_shares AS (SELECT term, {target} AS label, count(*) * 1000 // any_value(df) AS share
+  FROM tf JOIN train USING (id) JOIN known USING (term) GROUP BY term, {target}),
+{name}_sums AS (SELECT id, label, CAST(sum(tf * (share * share // 1000)) AS BIGINT) AS s FROM tf JOIN {name}_shares USING (term) GROUP BY ALL),
+{name}_all AS (SELECT n.id, c.label, 1 + coalesce(s, 0) AS s FROM normed n CROSS JOIN {name}_classes c LEFT JOIN {name}_sums x ON x.id = n.id AND x.label = c.label),
+{name}_ranked AS (SELECT id, label, s::DOUBLE / (sum(s) OVER (PARTITION BY id))::DOUBLE AS p,
+  row_number() OVER (PARTITION BY id ORDER BY s DESC, label) AS rk FROM {name}_all),
+{name}_top AS (SELECT id, string_agg(label, ' | ' ORDER BY rk) FILTER (rk <= 3) AS top3, max(label) FILTER (rk = 1) AS label,
+  max(p) FILTER (rk = 1) AS p, max(p) FILTER (rk = 3) AS third FROM {name}_ranked GROUP BY id)"""
+
+
+ROUTED_BY_SHARES = f"""
+WITH {TICKETS_NORMED}, {SPLIT.format(src='normed')}, {TERMS},
+train AS (SELECT id, department, urgency FROM splitted WHERE split = 'train'),
+known AS (SELECT term, count(*) AS df FROM tf JOIN train USING (id) GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 20000),
+{by_shares('dept', 'department')}, {by_shares('urg', 'urgency')},
+judged AS (SELECT n.id, {language('n.text')} AS language, d.label AS dept, u.label AS urgency, d.p AS dp, u.p AS up, least(d.p, u.p) AS conf,
+    d.top3 AS department_top3, u.top3 AS urgency_top3, d.third
+  FROM normed n JOIN dept_top d ON d.id = n.id JOIN urg_top u ON u.id = n.id)
+SELECT id, language, CASE WHEN conf < 0.45 THEN 'Other / Unknown' ELSE dept END AS department, round(dp, 3) AS department_confidence,
+  urgency, round(up, 3) AS urgency_confidence, round(conf, 3) AS confidence, conf < 0.45 OR language = 'other' AS needs_human,
+  {sla('urgency')} AS sla_hours, 'sklearn' AS source, department_top3, urgency_top3, round(third, 6) AS third_p FROM judged"""
+
+
 def oracle_queries() -> dict[str, str]:
     recall = "count(*) FILTER (urgency = 'P1' AND pred_urg = 'P1') / nullif(count(*) FILTER (urgency = 'P1'), 0)::DOUBLE"
     return {
@@ -341,6 +368,7 @@ JOIN (SELECT split, round({recall}, 6) AS p1_recall, round(avg((department = pre
 SELECT split, class, metric, round(value, 6) AS value FROM ql_report""",
         "q18_similar_topk": SIMILAR,
         "q18c_similar_saved_index": SIMILAR,
+        "q21c_route_counts": ROUTED_BY_SHARES,
         "q19_batch_defaults": f"""WITH {TICKETS},
 up AS (SELECT id AS row_no, CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS id, CASE WHEN id % 5 = 1 THEN NULL ELSE channel END AS channel,
   CASE WHEN id % 5 = 2 THEN '   ' ELSE ' ' || text || chr(10) END AS text, CASE WHEN id % 5 = 3 THEN '' ELSE urgency END AS urgency,

@@ -25,7 +25,7 @@ from ticketloom.functions import (
 from ticketloom.operators import evaluate, inbox, kpi, overrides, replies, split, tfidf
 from ticketloom.operators.ids import assign_ids
 from ticketloom.operators.keywords import keyword_department, keyword_hits
-from ticketloom.operators.model import fit
+from ticketloom.operators.model import fit, fit_counts
 from ticketloom.operators.similar import append_index, read_index, save_index, search_index, similar_tickets
 from ticketloom.plans.routing import route
 from ticketloom.plans.training import train
@@ -421,6 +421,19 @@ def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole routing job with the model of whole numbers, which SQL can replay."""
+    labelled = tables.labelled(spark, sf_dir)
+    model = fit_counts(split.stratified_split(labelled).filter(F.col("split") == "train"))
+    routed = route(labelled.select("id", "text", "channel"), model)
+    names = lambda top: F.array_join(F.transform(top, lambda x: x["label"]), " | ")
+    return routed.select(
+        "id", "language", "department", "department_confidence", "urgency", "urgency_confidence", "confidence", "needs_human", "sla_hours", "source",
+        names("department_top3").alias("department_top3"), names("urgency_top3").alias("urgency_top3"),
+        F.round(F.get("department_top3", F.lit(2))["p"], 6).alias("third_p"),
+    )
+
+
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(tables.tickets(spark, sf_dir))[1]
 
