@@ -33,6 +33,13 @@ def assign_ids(rows: DataFrame, base: int = 0, order_by: list[str] | None = None
     order columns and the places are sorted and written; ids come from the counts of the sorted
     partitions and are joined back by place. The order columns should end in a unique one.
     """
+    within = F.col("_m").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    if order_by and set(rows.columns) <= set(order_by):
+        # The rows are nothing but their order columns: the sorted table itself is numbered.
+        ordered = materialize(rows.orderBy(*order_by).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+        ordered = ordered.withColumn("_part", F.shiftright("_m", ROW_BITS))
+        numbered = ordered.join(F.broadcast(_offsets(ordered, "_part")), "_part")
+        return numbered.withColumn(id_col, F.lit(base) + F.col("_offset") + within + 1).drop("_m", "_part", "_offset")
     placed = materialize(rows, "unnumbered").select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def number(position: Column) -> Column:
@@ -43,7 +50,7 @@ def assign_ids(rows: DataFrame, base: int = 0, order_by: list[str] | None = None
         return numbered.drop("_file", "_row", "_offset")
     sorted_places = materialize(places_in_order(placed, order_by), "places").withColumn("_part", F.shiftright("_m", ROW_BITS))
     ids = sorted_places.join(F.broadcast(_offsets(sorted_places, "_part")), "_part")
-    ids = ids.select("_file", "_row", number(F.col("_m").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("_id"))
+    ids = ids.select("_file", "_row", number(within).alias("_id"))
     return placed.join(ids, ["_file", "_row"]).withColumn(id_col, F.col("_id")).drop("_file", "_row", "_id")
 
 
