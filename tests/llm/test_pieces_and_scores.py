@@ -96,22 +96,25 @@ def test_operators_keep_rows(make):
         sc.build_codec([*TINY, ("a▁b", -1.0, sc.NORMAL)])
 
 
-def scores_by_hand(texts, min_count):
+def scores_by_hand(texts):
+    """Each text by counts made anew of all others."""
     ids = [best_by_hand(t or "", TINY) for t in texts]
-    two, one = Counter(), Counter()
-    for x in ids:
-        two.update(zip([-1, *x], x, strict=False))
-        one.update(x)
-    total = sum(one.values())
-    one[-1] = sum(bool(x) for x in ids)
     out = []
-    for x in ids:
-        score = back = 0
+    for k, x in enumerate(ids):
+        two, one, before = Counter(), Counter(), Counter()
+        for y in ids[:k] + ids[k + 1 :]:
+            two.update(zip([-1, *y], y, strict=False))
+            one.update(y)
+            before.update(y + [-1] * bool(y))
+        score = back = unseen = 0
         for a, b in zip([-1, *x], x, strict=False):
-            seen = two[a, b] >= min_count
-            score += math.log10(two[a, b] / one[a] if seen else 0.4 * one[b] / total)
-            back += not seen
-        out.append((len(x), round(score, 9), back))
+            if two[a, b]:
+                score += math.log10(two[a, b] / before[a])
+            else:
+                score += math.log10(0.4 * one[b] / sum(one.values()) if one[b] else 0.16 / len(TINY))
+                back += 1
+                unseen += not one[b]
+        out.append((len(x), round(score, 9), back, unseen))
     return out
 
 
@@ -122,9 +125,12 @@ def test_scores_equal_brute_force(make, monkeypatch, hot):
     texts = ["ab ab a", "ab ab a", "aba b é", "", None, "b" * 50, "日 ab", "a"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, "ab")]
     got = backoff_lm.score_documents(make(rows), sc.build_codec(TINY)).collect()
-    want = scores_by_hand([t for _, t in rows], 2)
-    assert sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens, round(r.log_score, 9), r.n_backoff) for r in got) == sorted(
+    want = scores_by_hand([t for _, t in rows])
+    assert sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens, round(r.log_score, 9), r.n_backoff, r.n_unseen) for r in got) == sorted(
         ((i if i is not None else -1), *w) for (i, _), w in zip(rows, want, strict=True)
     )
     assert all((r.per_token is None) == (r.n_tokens == 0) for r in got)
+    assert any(r.n_unseen for r in got) and any(r.n_backoff > r.n_unseen for r in got)
+    alone = backoff_lm.score_documents(make([(7, "ab é")]), sc.build_codec(TINY)).first()
+    assert (alone.n_tokens, alone.n_backoff, alone.n_unseen) == (3, 3, 3)
     assert backoff_lm.score_documents(make([]), sc.build_codec(TINY)).count() == 0

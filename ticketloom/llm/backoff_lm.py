@@ -2,10 +2,12 @@
 
 Tokens are pieces of a public model, so every n-gram has an exact code. Pairs of pieces are counted
 over the whole corpus and kept in a table that is partitioned by hash. The exploded pairs of each
-document go to the same partitions, are joined there and summed to one number for each document and
-partition. A pair (a, b) scores log10 c(a, b) / c(a) if it was counted ``min_count`` times or more,
-else log10 0.4 c(b) / N. Pairs that make up more than 1 / ``HOT`` of the corpus, of which there are
-fewer than ``HOT``, are scored before the shuffle, so no partition gets more than its share.
+document, once each with how often the document has them, go to the same partitions, are joined there
+and summed to one number for each document and partition. A document is scored by all other rows: its
+own occurrences are taken off every count. With such counts a pair (a, b) scores log10 c(a, b) / c(a)
+if it occurs elsewhere, else log10 0.4 c(b) / N, and log10 0.4^2 / V if the piece occurs nowhere else
+either (V pieces of the model). Pairs that make up more than 1 / ``HOT`` of the corpus, of which there
+are fewer than ``HOT``, are scored before the shuffle, so no partition gets more than its share.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ HOT = 1 << 16
 #: Pairs that a task counts before it passes them on; tokens of a partition; least partitions.
 FLUSH, PARTITION_TOKENS, LEAST_PARTITIONS = 1 << 20, 6_000_000, 16
 _SHIFT = np.uint64(32)
+#: What goes to the partitions: keys of rows with their numbers of pairs, and for each pair four numbers.
+_PACKED = {"part": pa.int32()} | dict.fromkeys(("rows", "codes", "own", "own_first", "own_second"), pa.binary())
 
 
 def _pairs(batch: pa.RecordBatch, codec: Codec) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -135,30 +139,52 @@ def _hot_pairs(table: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c for c, _ in rows], np.uint32), np.array([n for _, n in rows], np.int64)
 
 
-def _scores(codes: np.ndarray, counts: np.ndarray, pieces: np.ndarray, total: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(score, backed off) of pairs and their counts in the corpus."""
-    known = counts >= max(min_count, 1)
-    first, second = codes >> np.uint32(16), codes & np.uint32(0xFFFF)
-    direct = np.log10(np.maximum(counts, 1) / np.maximum(pieces[first], 1))
-    backed = np.log10(BACKOFF * np.maximum(pieces[second], 1) / max(total, 1))
-    return np.where(known, direct, backed), ~known
+def _own_pairs(codes: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of each row, by row: (codes, rows, own, own_first, own_second).
+
+    ``own`` is how often the row has the pair, the others how often it has the pair's pieces.
+    """
+    both, own = np.unique((row.astype(np.uint64) << _SHIFT) | codes, return_counts=True)
+    codes, row = both.astype(np.uint32), (both >> _SHIFT).astype(np.int64)
+    first, second = _pieces_of(codes)
+    piece, at = np.unique(row << 16 | second, return_inverse=True)
+    has = np.bincount(at, own, piece.size).astype(np.int64)
+    before = np.searchsorted(piece, row << 16 | first).clip(max=max(piece.size - 1, 0))
+    return codes, row, own, np.where(first == start, 1, has[before]), has[at]
+
+
+def _pieces_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (codes >> np.uint32(16)).astype(np.int64), (codes & np.uint32(0xFFFF)).astype(np.int64)
 
 
-_SUM = "key long, doc_id long, n_rows long, n_tokens long, log_score double, n_backoff long"
+def _parts(codes, counts, own, own_first, own_second, pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, places backed off to one piece, places whose piece is unseen) of pairs, for all their places.
+
+    The score of the second kind lacks log10 0.4 / N, that of the third is 0: both are added to the sums.
+    """
+    first, second = _pieces_of(codes)
+    elsewhere, second = counts - own, pieces[second] - own_second
+    direct, single = elsewhere > 0, (elsewhere <= 0) & (second > 0)
+    ratio = np.log10(np.maximum(elsewhere, 1) / np.maximum(pieces[first] - own_first, 1))
+    value = np.where(direct, ratio, np.log10(np.maximum(second, 1)))
+    return value * own, single * own, ~(direct | single) * own
 
 
-def _sums(key, doc_id, n_rows, n_tokens, score, backed) -> pa.Table:
-    return pa.table({"key": key, "doc_id": doc_id, "n_rows": n_rows, "n_tokens": n_tokens, "log_score": score, "n_backoff": backed})
+_SUM = "key long, doc_id long, n_rows long, n_tokens long, log_score double, n_single long, n_unseen long"
+_NAMES = [c.split()[0] for c in _SUM.split(", ")]
 
 
-def score_documents(docs: DataFrame, codec: Codec, min_count: int = 2) -> DataFrame:
-    """(doc_id, n_tokens, log_score, per_token, n_backoff) of each row, by the model of all rows.
+def score_documents(docs: DataFrame, codec: Codec) -> DataFrame:
+    """(doc_id, n_tokens, log_score, per_token, n_backoff, n_unseen) of each row, by the model of all other rows.
 
     log_score sums the base-10 scores of all pieces of the whole text, each after the piece before it
-    (the first after the start of a document); per_token is its mean, n_backoff how many backed off.
-    A null or empty text has no tokens, log_score 0 and per_token null. Repeated rows are counted and
-    returned as often as they occur; a row without doc_id is scored like others. Other columns are
-    ignored; an empty table gives none. Models of 65,535 pieces or more are refused.
+    (the first after the start of a document); per_token is its mean, n_backoff how many pairs occur in no
+    other row, n_unseen how many of these have a piece that occurs in no other row. So a text that
+    another row repeats never backs off. A null or empty text has no tokens, log_score 0 and per_token
+    null. Repeated rows are counted and returned as often as they occur; a row without doc_id is scored
+    like others. Rows are told apart by a 64-bit hash of (doc_id, text): of two rows with equal hashes
+    both get the mean. Other columns are ignored; an empty table gives none. Models of 65,535 pieces or
+    more are refused.
     """
     if codec.score.size >= 1 << 16:
         raise ValueError("pairs of so many pieces don't fit in 32 bits")
@@ -170,79 +196,84 @@ def score_documents(docs: DataFrame, codec: Codec, min_count: int = 2) -> DataFr
     pieces = _piece_counts(table, codec.score.size)
     total = int(pieces.sum())
     pieces[-1] = docs.where("text <> ''").count()  # how often a document starts
-    hot, hot_counts = _hot_pairs(table, total)
-    held = spark.sparkContext.broadcast((codec, pieces, hot, *_scores(hot, hot_counts, pieces, total, min_count)))
+    held = spark.sparkContext.broadcast((codec, pieces, *_hot_pairs(table, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _, hot, hot_score, hot_backed = held.value
-        packed, names, size = [], [], 0
+        codec, pieces, hot, hot_counts = held.value
+        packed, size = [], 0
 
-        def head(batch: pa.RecordBatch, first: int, last: int, codes: np.ndarray, row: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        def head(batch: pa.RecordBatch, first: int, last: int, own: tuple) -> tuple[pa.RecordBatch, np.ndarray]:
             n = last - first
-            at = np.searchsorted(hot, codes).clip(max=max(hot.size - 1, 0))
-            is_hot = hot[at] == codes if hot.size else np.zeros(codes.size, bool)
-            mine, at = row[is_hot], at[is_hot]
-            columns = {"part": pa.nulls(n, pa.int32()), "rows": pa.nulls(n, pa.binary()), "codes": pa.nulls(n, pa.binary())}
+            at = np.searchsorted(hot, own[0]).clip(max=max(hot.size - 1, 0))
+            is_hot = hot[at] == own[0] if hot.size else np.zeros(own[0].size, bool)
+            codes, row, *of_row = (x[is_hot] for x in own)
+            sums = _parts(codes, hot_counts[at[is_hot]], *of_row, pieces)
+            columns = {c: pa.nulls(n, t) for c, t in _PACKED.items()}
             columns |= {c: batch.column(c).slice(first, n) for c in ("key", "doc_id")}
-            columns |= {"n_tokens": np.bincount(row, minlength=n), "log_score": np.bincount(mine, hot_score[at], minlength=n).astype(np.float64)}
-            return pa.record_batch(columns | {"n_backoff": np.bincount(mine, hot_backed[at], minlength=n).astype(np.int64)}), ~is_hot
+            columns |= {"n_tokens": np.bincount(own[1], own[2], n).astype(np.int64), "log_score": np.bincount(row, sums[0], n).astype(np.float64)}
+            columns |= {c: np.bincount(row, x, n).astype(np.int64) for c, x in zip(_NAMES[5:], sums[1:], strict=True)}
+            return pa.record_batch(columns), ~is_hot
 
         def tail() -> pa.RecordBatch:
-            codes, key = np.concatenate(packed), np.concatenate(names)
+            codes, key, *of_row = (np.concatenate(x) for x in zip(*packed, strict=True))
             order, parts, cuts = _split(_wide(codes), partitions)
             columns = {"part": pa.array(parts, pa.int32()), "rows": _runs(key[order], cuts), "codes": _blobs(codes[order], cuts)}
+            columns |= {c: _blobs(x[order].astype(np.uint32), cuts) for c, x in zip(list(_PACKED)[3:], of_row, strict=True)}
             columns |= {c: pa.nulls(parts.size, pa.int64()) for c in ("key", "doc_id", "n_tokens")}
-            return pa.record_batch(columns | {"log_score": pa.nulls(parts.size, pa.float64()), "n_backoff": pa.nulls(parts.size, pa.int64())})
+            columns |= {"log_score": pa.nulls(parts.size, pa.float64())}
+            return pa.record_batch(columns | {c: pa.nulls(parts.size, pa.int64()) for c in _NAMES[5:]})
 
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for first, last, codes, row in _pairs(batch, codec):
-                codes = _narrow(codes)
-                scored, rest = head(batch, first, last, codes, row)
+                own = _own_pairs(_narrow(codes), row, codec.score.size)
+                scored, rest = head(batch, first, last, own)
                 yield scored
-                packed.append(codes[rest])
-                names.append(keys[row[rest] + first])
-                size += packed[-1].size
+                codes, row, *of_row = (x[rest] for x in own)
+                packed.append((codes, keys[row + first], *of_row))
+                size += codes.size
                 if size > FLUSH:
                     yield tail()
-                    packed, names, size = [], [], 0
+                    packed, size = [], 0
         if size:
             yield tail()
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pieces, *_ = held.value
         if not right.num_rows or not left.num_rows:
-            return _sums(*[pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())])
+            return pa.table({c: pa.array([], t) for c, t in zip(_NAMES, [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 2, strict=True)})
         known = np.frombuffer(right["codes"][0].as_py(), np.uint32)
         counts = np.frombuffer(right["counts"][0].as_py(), np.int64)
-        score, backed = _scores(known, counts, pieces, total, min_count)
         out = []
-        for runs, blob in zip(left["rows"].to_pylist(), left["codes"].to_pylist(), strict=True):
+        for runs, blob, *of_row in zip(*(left[c].to_pylist() for c in ("rows", *list(_PACKED)[2:])), strict=True):
             key, size = np.split(np.frombuffer(runs, np.int64), 2)
-            at = np.searchsorted(known, np.frombuffer(blob, np.uint32))
-            edge = np.cumsum(size) - size
-            out.append((key, np.add.reduceat(score[at], edge), np.add.reduceat(backed[at].astype(np.int64), edge)))
-        key, sums, back = (np.concatenate(x) for x in zip(*out, strict=True))
+            codes = np.frombuffer(blob, np.uint32)
+            of_row = [np.frombuffer(x, np.uint32).astype(np.int64) for x in of_row]
+            sums = _parts(codes, counts[np.searchsorted(known, codes)], *of_row, pieces)
+            out.append((key, *(np.add.reduceat(x, np.cumsum(size) - size) for x in sums)))
+        key, *sums = (np.concatenate(x) for x in zip(*out, strict=True))
         zero = np.zeros(key.size, np.int64)
-        return _sums(pa.array(key), pa.nulls(key.size, pa.int64()), pa.array(zero), pa.array(zero), pa.array(sums), pa.array(back))
+        return pa.table(dict(zip(_NAMES, (key, pa.nulls(key.size, pa.int64()), zero, zero, *sums), strict=True)))
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    schema = "part int, rows binary, codes binary, key long, doc_id long, n_tokens long, log_score double, n_backoff long"
+    schema = ", ".join(["part int", *(f"{c} binary" for c in list(_PACKED)[1:]), *(c for c in _SUM.split(", ") if "n_rows" not in c)])
     exploded = materialize(keyed.mapInArrow(run, schema), "exploded-pairs")
-    heads = exploded.where("part is null").select("key", "doc_id", F.lit(1).cast("long").alias("n_rows"), "n_tokens", "log_score", "n_backoff")
-    tails = exploded.where("part is not null").select("part", "rows", "codes").groupBy("part")
+    heads = exploded.where("part is null").withColumn("n_rows", F.lit(1).cast("long")).select(_NAMES)
+    tails = exploded.where("part is not null").select(*_PACKED).groupBy("part")
     joined = tails.cogroup(table.select("part", "codes", "counts").groupBy("part")).applyInArrow(join, _SUM)
     # equal rows have one key: their sums are divided among them
-    sums = heads.union(joined).groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "log_score", "n_backoff")]
-    )
+    sums = heads.union(joined).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _NAMES[2:]])
     each = lambda c: (F.col(c) / F.col("n_rows"))
+    single = F.log10(F.lit(BACKOFF)) - F.log10(F.greatest(F.lit(total) - each("n_tokens"), F.lit(1)))
+    unseen = F.lit(float(np.log10(BACKOFF**2 / max(codec.score.size, 1))))
+    log_score = each("log_score") + each("n_single") * single + each("n_unseen") * unseen
     out = sums.select(
         "doc_id",
         each("n_tokens").cast("long").alias("n_tokens"),
-        each("log_score").alias("log_score"),
-        (F.col("log_score") / F.expr("nullif(n_tokens, 0)")).alias("per_token"),
-        each("n_backoff").cast("long").alias("n_backoff"),
+        log_score.alias("log_score"),
+        (log_score / F.expr("nullif(n_tokens / n_rows, 0)")).alias("per_token"),
+        (each("n_single") + each("n_unseen")).cast("long").alias("n_backoff"),
+        each("n_unseen").cast("long").alias("n_unseen"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))).alias("copy"),
     )
     return out.drop("copy")
