@@ -85,5 +85,56 @@ def test_neighbours(make):
     rng = random.Random(6)
     base = ["".join(rng.choices("abcdefghij ", k=900)) for _ in range(6)]
     rows = [(10 * g + i, t if i < 2 else t[: 400 + i] + "#" + t[400 + i :]) for g, t in enumerate(base) for i in range(4)]
-    got = {r.doc_id: r.component_id for r in ee.edit_neighbours(make([*rows, (None, base[0]), (99, None)])).collect()}
-    assert got == {i: i // 10 * 10 for i, _ in rows} | {99: 99}
+    odd = [(None, base[0]), (99, None), (98, ""), (5, "a repeated id " * 20), (97, "a repeated id " * 20)]
+    got = sorted((r.doc_id, r.component_id) for r in ee.edit_neighbours(make([*rows, *odd])).collect())
+    assert got == sorted([(i, i // 10 * 10) for i, _ in rows] + [(99, 98), (98, 98), (5, 5), (97, 5)])
+    assert ee.edit_neighbours(make([])).count() == 0
+
+
+def test_small_scales_miss_nothing():
+    """Up to 31 samples some window is equal, wherever the differences that the threshold allows are."""
+    for n in range(6, 32):
+        for m in range(n, 32):
+            least = min(n, m)
+            wrong = int(max(n, m) * (1 - (0.8 * 15 + 1) / 16) + 1e-9) - abs(n - m)
+            if wrong >= 0:
+                shared = set(ee._scales(n)) & set(ee._scales(m))
+                assert any(least // s > wrong for s in shared), (n, m)
+
+
+def test_recall_against_all_pairs(make):
+    """Links of one edit to a fifth of the text at once, below a common beginning, at all lengths."""
+    rng = random.Random(8)
+    letters = "etaoin shrdlu cmfwyp"
+    common = "".join(rng.choices(letters, k=400))
+    rows = []
+    for n in (60, 100, 250, 510, 900, 3000, 9000):
+        for g in range(12):
+            text = (common[: n // 2] if g % 2 else "") + "".join(rng.choices(letters, k=n))
+            rows.append(text[:n])
+            for edits in (1, max(1, n // 100), max(1, n // 25)):
+                near = list(text[:n])
+                for _ in range(edits):
+                    at = rng.randrange(len(near))
+                    near[at : at + rng.randrange(2)] = rng.choice(letters) * rng.randrange(2)
+                rows.append("".join(near))
+            rows.append(text[: n - n // 6])
+    prints = ee.fingerprints(rows)
+    got = {r.doc_id: r.component_id for r in ee.edit_neighbours(make(list(enumerate(rows)))).collect()}
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    found = alike = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if ee.likeness(prints[i], prints[j]) >= 0.8:
+                alike += 1
+                found += got[i] == got[j]
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert alike > 300 and found >= 0.98 * alike, (found, alike)
+    assert all(find(i) == find(got[i]) for i in range(len(rows)))  # no group joins what no link joins

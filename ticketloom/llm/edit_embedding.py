@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm.graphs import components
 from ticketloom.llm.text_arrays import mix
+from ticketloom.session import materialize
 
 #: Least number of samples of a long text; steps after which the random bits repeat; steps of a trace.
 SAMPLES, PERIOD, TRACE = 256, 1024, 256
 #: Characters that a task embeds at a time.
 GROUP_CHARS = 12_000_000
+#: Bands of a window; samples of a band at small scales; fingerprints that may be alike to some of the level above.
+BANDS, WIDTHS, LONG = 6, {32: 4, 64: 6}, 320
 _MOVES = (mix(np.arange(PERIOD * 256, dtype=np.uint64)) >> np.uint64(63)).astype(np.int64).reshape(PERIOD, 256)
 _MOVES[:, 0] = 0  # the end of a text holds the pointer
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -223,55 +226,112 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return _with_next(docs.select("doc_id", "text")).mapInArrow(run, _SCHEMA)
 
 
-def edit_neighbours(docs: DataFrame, threshold: float = 0.8, bands: int = 32, width: int = 6) -> DataFrame:
+def _coarser(level: int, samples: np.ndarray) -> np.ndarray:
+    """The samples of the level above."""
+    pick = np.arange((samples.size + 1) // 2)
+    pick = 2 * pick + _half(pick, level + 1)
+    return samples[pick[pick < samples.size]]
+
+
+@functools.cache
+def _places(scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of each band, ends of their windows) for fingerprints of ``scale`` to 2 ``scale`` samples.
+
+    A window is a quarter of the scale. Scales 3 and 4 are whole windows of so many samples, for short texts.
+    """
+    if scale < 32:
+        places = np.arange(-(-40 // scale) * scale).reshape(-1, scale)
+        return places, places[:, -1] + 1
+    size, width = scale // 4, WIDTHS.get(scale, 8)
+    order = np.argsort(mix(np.arange(8 * BANDS * size, dtype=np.uint64) + np.uint64(scale << 20)).reshape(-1, size), axis=1)
+    window = np.repeat(np.arange(8), BANDS)
+    return np.sort(order[:, :width], axis=1) + size * window[:, None], size * (window + 1)
+
+
+def _scales(n: int) -> list[int]:
+    """Scales of a fingerprint of ``n`` samples. Two with lengths within a fifth of each other share one."""
+    if n < 32:
+        return [3] * (6 <= n < 12) + [4] * (n >= 8)
+    scale = min(1 << (n.bit_length() - 1), SAMPLES)
+    return [scale] + ([scale // 2 if scale > 32 else 4] if n < 1.25 * scale else [])
+
+
+def band_keys(fingerprint: str) -> np.ndarray:
+    """Keys of the bands of a fingerprint, whose two lowest bits name one of four orders."""
+    text, samples = fingerprint.split(":")
+    level, samples = int(text), np.frombuffer(samples.encode(), np.uint8)
+    out = [np.zeros(0, np.uint64)]
+    for k in (level, level + 1) if samples.size >= LONG else (level,):
+        digits = samples if k == level else _coarser(level, samples)
+        for scale in _scales(digits.size):
+            places, ends = _places(scale)
+            places = places[ends <= digits.size]
+            content = np.zeros((len(places), 8), np.uint8)
+            content[:, : places.shape[1]] = digits[places]
+            number = np.arange(len(places), dtype=np.uint64) + np.uint64((k << 40) + (scale << 20))
+            key = mix(content.view(np.uint64).ravel() ^ mix(number))
+            out.append((key & ~np.uint64(3)) | (number & np.uint64(3)))
+    return np.concatenate(out)
+
+
+def edit_neighbours(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents grouped by likeness of their fingerprints.
 
-    A band is ``width`` samples, taken at fixed random places among the first 256 of a fingerprint's
-    own level and of the level above (where it meets longer texts). Each band links a document to the
-    least one of the same band; a link counts if the fingerprints are at least ``threshold`` alike.
-    Equal fingerprints are one class, so copies cost no links. Rows without doc_id are left out; a
-    document without neighbours has its own doc_id. Banding is randomised: two texts that agree in a
-    share s of samples miss each other with probability (1 - s^width)^bands.
+    A band is up to 8 samples at fixed places of one window of a fingerprint, and a window a quarter of the
+    fingerprint's scale (a power of two). Bands whose window ends behind the fingerprint are left out, and
+    fingerprints near the limit of a scale or level have the bands of both. Each band links its members to
+    one of them, the least in one of four orders, so members that one head hides meet others; a link counts
+    if the fingerprints are at least ``threshold`` alike. Equal fingerprints (by a 64-bit hash) are one
+    class, so copies cost no links. component_id is the least doc_id of the group; a document without
+    neighbours has its own. Rows without doc_id are left out; rows of one doc_id are judged each by its
+    text; a null text is empty. Other columns are ignored; an empty table gives no rows. Banding is
+    randomised: alike texts are missed if no band links them or a chain between them.
     """
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                yield pa.record_batch(
-                    {"doc_id": batch.column("doc_id").slice(i, 256), "print": fingerprints([t or "" for t in texts[i : i + 256]])}
-                )
+            first = 0
+            while first < len(texts):
+                last, chars = first + 1, len(texts[first] or "")
+                while last < min(len(texts), first + 4096) and chars < GROUP_CHARS:
+                    chars += len(texts[last] or "")
+                    last += 1
+                prints = fingerprints([t or "" for t in texts[first:last]])
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(first, last - first), "print": prints})
+                first = last
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
-            for doc_id, text in zip(batch.column("first").to_pylist(), batch.column("print").to_pylist(), strict=True):
-                level, samples = text.split(":")
-                level = int(level)
-                pick = np.arange((len(samples) + 1) // 2)
-                pick = 2 * pick + _half(pick, level + 1)
-                above = "".join(samples[p] for p in pick if p < len(samples))
-                for k, s in ((level, samples), (level + 1, above)):
-                    for b in range(bands):
-                        at = mix(np.arange(width, dtype=np.uint64) + np.uint64(b * width)) % np.uint64(max(1, min(len(s), SAMPLES // 2)))
-                        keys.append(f"{k}:{b}:" + "".join(s[int(p)] for p in at if p < len(s)))
-                        owners.append(doc_id)
-            yield pa.record_batch({"band": pa.array(keys, pa.string()), "doc_id": pa.array(owners, pa.int64())})
-
-    prints = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(embed, "doc_id long, print string")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    banded = classes.mapInArrow(band, "band string, doc_id long")
-    heads = banded.groupBy("band").agg(F.min("doc_id").alias("b"))
-    pairs = banded.join(heads, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    left = classes.select(F.col("first").alias("a"), F.col("print").alias("pa"))
-    right = classes.select(F.col("first").alias("b"), F.col("print").alias("pb"))
+            ids = batch.column("class").to_numpy()
+            for i in range(0, ids.size, 4096):
+                keys = [band_keys(x) for x in batch.column("print").slice(i, 4096).to_pylist()]
+                key = np.concatenate(keys)
+                owner = np.repeat(ids[i : i + 4096], [k.size for k in keys])
+                place = owner.view(np.uint64) ^ ((key & np.uint64(3)) << np.uint64(62))
+                yield pa.record_batch({"band": key.view(np.int64), "place": place.view(np.int64)})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [likeness(x, y) >= threshold for x, y in zip(batch["pa"].to_pylist(), batch["pb"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    prints = rows.mapInArrow(embed, "doc_id long, print string").withColumn("class", F.xxhash64("print"))
+    prints = materialize(prints, "edit-prints")
+    classes = prints.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"))
+    classes = materialize(classes, "edit-classes")
+    banded = materialize(classes.select("class", "print").mapInArrow(band, "band long, place long"), "edit-bands")
+    heads = banded.groupBy("band").agg(F.min("place").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = lambda c: F.col(c).bitwiseXOR(F.shiftleft(F.col("band").bitwiseAND(F.lit(3)), 62))
+    pairs = banded.join(heads, "band").where("place <> head").select(member("place").alias("a"), member("head").alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = classes.select(F.col("class").alias("a"), F.col("print").alias("pa"))
+    right = classes.select(F.col("class").alias("b"), F.col("print").alias("pb"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long")
-    roots = components(links).withColumnRenamed("node", "first")
-    named = classes.join(roots, "first", "left").select("print", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(named, "print").select("doc_id", "component_id")
+    roots = components(links).withColumnRenamed("node", "class")
+    named = classes.select("class", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = materialize(named, "edit-groups")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "root").select("class", "component_id")
+    return prints.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")

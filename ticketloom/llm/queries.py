@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm.backoff_lm import score_documents
 from ticketloom.llm.decontaminate import leaks
-from ticketloom.llm.edit_embedding import fingerprint_edits
+from ticketloom.llm.edit_embedding import edit_neighbours, fingerprint_edits
 from ticketloom.llm.language_mixture import classify
 from ticketloom.llm.license_scan import scan
 from ticketloom.llm.multi_index import nearest
@@ -70,6 +70,10 @@ def edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), build_codec(read_model(model)), "doc_id")
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_mixture": language_mixture,
         "op6_license_scan": license_scan,
         "op7_edit_embedding": edit_embedding,
+        "op7b_edit_neighbours": edit_groups,
         "op8_sentencepiece": sentencepiece,
         "op9_decontaminate": decontaminate,
         "op10_url_rules": url_rules,
