@@ -107,7 +107,7 @@ def count_table(docs: DataFrame, codec: Codec, partitions: int) -> DataFrame:
         return pa.table(row)
 
     counted = docs.select("text").mapInArrow(run, "part int, codes binary, counts binary")
-    return counted.groupBy("part").applyInArrow(add, "part int, codes binary, counts binary, seconds binary, sums binary")
+    return counted.repartition(partitions, "part").groupBy("part").applyInArrow(add, "part int, codes binary, counts binary, seconds binary, sums binary")
 
 
 def _piece_counts(table: DataFrame, pieces: int) -> np.ndarray:
@@ -259,8 +259,10 @@ def score_documents(docs: DataFrame, codec: Codec) -> DataFrame:
     schema = ", ".join(["part int", *(f"{c} binary" for c in list(_PACKED)[1:]), *(c for c in _SUM.split(", ") if "n_rows" not in c)])
     exploded = materialize(keyed.mapInArrow(run, schema), "exploded-pairs")
     heads = exploded.where("part is null").withColumn("n_rows", F.lit(1).cast("long")).select(_NAMES)
-    tails = exploded.where("part is not null").select(*_PACKED).groupBy("part")
-    joined = tails.cogroup(table.select("part", "codes", "counts").groupBy("part")).applyInArrow(join, _SUM)
+    # as many shuffle partitions as parts, so that tasks don't grow with the corpus
+    tails = exploded.where("part is not null").select(*_PACKED).repartition(partitions, "part").groupBy("part")
+    known = table.select("part", "codes", "counts").repartition(partitions, "part").groupBy("part")
+    joined = tails.cogroup(known).applyInArrow(join, _SUM)
     # equal rows have one key: their sums are divided among them
     sums = heads.union(joined).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _NAMES[2:]])
     each = lambda c: (F.col(c) / F.col("n_rows"))
