@@ -87,3 +87,23 @@ def test_overlap_counts_are_the_product():
     rows, members = np.nonzero(dense)
     product = dense.astype(int) @ dense.T.astype(int)
     assert (np.triu(nj.overlaps(members.astype(np.uint64), rows, 7), 1) == np.triu(product, 1)).all()
+
+
+@pytest.mark.parametrize("share", [0, 1, 2])
+def test_any_choice_of_common_columns_gives_the_same_groups(make, monkeypatch, share):
+    """The sample only picks columns that the candidate blocks leave out: none, all or every second will do."""
+    rng = random.Random(share)
+    words = [f"w{i}" for i in range(400)]
+    texts = [edited(words[k * 40 : k * 40 + 60], rng.choice([0, 1, 2]), rng) for k in range(8) for _ in range(5)]
+    rows = list(enumerate(texts + ["", None, "one two"]))
+    docs = make(rows)
+
+    def chosen(docs, n, total, intervals):
+        found = [nj.ta.mix(np.zeros(0, np.uint64))]
+        for batch in docs.select("text").toArrow().to_batches():
+            found += [members for _, _, members, _ in nj._rows(batch, n)]
+        every = np.unique(np.concatenate(found))
+        return every[:: share] if share else every[:0]
+
+    monkeypatch.setattr(nj, "_common_columns", chosen)
+    assert result(nj.jaccard_components(docs, 3, 0.8)) == brute(rows, 3, 0.8)
