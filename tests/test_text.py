@@ -110,3 +110,15 @@ def test_language_decisions(spark):
         ("ok " + "ж" * 2, "en"), ("ok " + "ж" * 3, "other"),
     ]
     assert run(spark, [c[0] for c in cases], detect_language) == [c[1] for c in cases]
+
+
+def test_highlights_leave_interpreted_lambdas(spark):
+    """Ties by first place, stop words, short words, null and blank rows, over more than one slice of rows."""
+    from ticketloom.functions import text as module
+
+    rows = ["card bill card the THE bill zeta", "the a to", None, "", "aa bb", "बिल बिल राशि abc"] + [f"row{'x' * (i % 7 + 1)} one two one" for i in range(2 * module.TOP_ROWS)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, norm string").coalesce(1).select("id", token_highlight(F.col("norm"), 2).alias("top"))
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.top for r in df.collect()}
+    assert [got[i] for i in range(6)] == [["card", "bill"], [], [], [], [], ["बिल", "राशि"]]
+    assert all(got[i] == ["one", "row" + "x" * ((i - 6) % 7 + 1)] for i in range(6, len(rows)))
