@@ -109,3 +109,16 @@ def test_live_counts_follow_late_rows(spark, tmp_path, parts):
     assert shown == {1: 2, 2: 1, 6: 1}
     shown, state = arrive([0, 5])  # the first is days late and dropped
     assert shown == {1: 2, 2: 1, 6: 2} and state == 1
+
+
+def test_rows_are_counted_without_the_join_that_numbers_them(spark, tmp_path, monkeypatch):
+    kind, plans = type(spark.range(1)), []
+    counted = kind.count
+    monkeypatch.setattr(kind, "count", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or counted(df))
+    store = TicketStore(spark, str(tmp_path / "s"))
+    store.insert(arrivals(spark, 0, 9).repartition(3), order_by=["created_at"])
+    store.insert(arrivals(spark, 9, 4))
+    monkeypatch.undo()
+    assert plans and not [p for p in plans if "Join" in p]
+    assert sorted((r.id, r.ext_id) for r in store.raw_tickets().collect())[:9] == [(i + 1, str(i)) for i in range(9)]
+    assert store.raw_tickets().agg(F.max("id")).first()[0] == 13
