@@ -62,6 +62,31 @@ def test_given_documents(documents):
     assert result(nj.jaccard_components(documents, 3, 0.9)) == brute(rows, 3, 0.9)
 
 
+@pytest.mark.parametrize(("key_bytes", "name_bytes"), [(1, 6), (5, 1)])
+def test_shortened_keys_and_names_only_add_candidates(make, monkeypatch, key_bytes, name_bytes):
+    monkeypatch.setattr(nj, "KEY_BYTES", key_bytes)
+    monkeypatch.setattr(nj, "NAME_BYTES", name_bytes)
+    rng = random.Random(5)
+    base = [rng.choices([f"w{i}" for i in range(60)], k=40) for _ in range(60)]
+    rows = [(100 * g + i, edited(words, i, rng)) for g, words in enumerate(base) for i in range(5)]
+    assert result(nj.jaccard_components(make(rows), 3, 0.8)) == brute(rows, 3, 0.8)
+
+
+def test_what_a_cluster_writes_grows_with_its_rows(make, monkeypatch):
+    """One cluster of 300 sets in blocks of 16: each set's members leave once, whatever number of blocks there is."""
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, edited(base, 3, rng)) for i in range(300)]
+    kept, cut = [], nj.cut_lineage
+    monkeypatch.setattr(nj, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    assert result(nj.jaccard_components(make(rows), 3, 0.8)) == brute(rows, 3, 0.8)
+    blocks = kept[0].where("members is not null").collect()
+    held = np.concatenate([np.frombuffer(r.sets, np.int64) for r in blocks])
+    assert len(blocks) > 10 and held.size == np.unique(held).size <= 300
+    assert all(len(r.members) == 8 * np.frombuffer(r.sizes, np.int64).sum() for r in blocks)
+
+
 def test_empty_table_repeated_rows_and_missing_ids(make):
     assert nj.jaccard_components(make([])).count() == 0
     text = "one two three four five six seven"

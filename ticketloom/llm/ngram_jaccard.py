@@ -13,6 +13,12 @@ is exact up to equal 64-bit hashes: no list of partners is capped.
 
 Rows with equal sets are one row of the matrix. Only stars leave a task: a block emits for each row
 one link to the least row of its local component, so a group of k copies makes about k rows.
+
+What is written grows with the input: a cluster of several blocks is cut by size interval and hash,
+each block is written once, and a Cartesian product that reads the written blocks pairs those of the
+same or adjacent intervals. The keys of the column blocks, most of what is shuffled, go without the
+bits that their bucket tells, and their owners as the last 48 bits of the set's hash. Shortened ones
+can only add candidates, and the product judges all of them.
 """
 
 from __future__ import annotations
@@ -23,18 +29,22 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm import bitmaps
 from ticketloom.llm import text_arrays as ta
 from ticketloom.llm.graphs import components
-from ticketloom.session import materialize
+from ticketloom.session import cut_lineage, free_shuffles, materialize
 
 #: Rows of one block of the product.
 BLOCK_ROWS = 512
 #: Keys that a map task gathers before it passes them on, and of one reducer group.
 FLUSH_KEYS, GROUP_KEYS = 1 << 19, 1 << 19
+#: Bytes of a key inside its bucket and of a set's name, of the 8 that both have.
+KEY_BYTES, NAME_BYTES = 5, 6
+#: Bytes of blocks that a task of the product reads from each side, and links it gathers before it reduces them to stars.
+PRODUCT_BYTES, FLUSH_LINKS = 8 << 20, 1 << 20
 #: Sets smaller than this are compared by prefix columns.
 SMALL = 17
 #: Sets sampled for common columns, and the most columns that are taken for common.
@@ -194,27 +204,47 @@ def _stars(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
     return a[fresh], b[fresh], keys[head], owners[head]
 
 
+def _shortened(values: np.ndarray, width: int) -> np.ndarray:
+    """The last ``width`` bytes of 64-bit values, as rows of bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _read(blobs: pa.ChunkedArray, width: int) -> np.ndarray:
+    """What ``_shortened`` left of the values."""
+    short = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, width)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :width] = short
+    return out.view("<u8").ravel()
+
+
+def short_name(name: str) -> Column:
+    """What names a set in the candidate links. Sets with equal short names are candidates of each other and of the same sets."""
+    return F.col(name).bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1))
+
+
 _LINKS = "bucket int, linked boolean, a binary, b binary"
 
 
 def _links(docs: DataFrame, n: int, t: Fraction, total: int, n_sets: int) -> DataFrame:
-    """Candidate links (a, b) between set hashes: stars over the rows of each key."""
+    """Candidate links (a, b) between short names of sets: stars over the rows of each key."""
     intervals = size_intervals(t)
     seen = docs.sparkSession.sparkContext.broadcast(_common_columns(docs, n, n_sets, intervals))
     conf = docs.sparkSession.conf
     groups = max(4 * int(conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS, 1)
+    key_bytes, name_bytes = KEY_BYTES, NAME_BYTES
 
     def pack(linked, a, b):
-        bucket = (a.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+        rest, bucket = np.divmod(a.view(np.uint64), np.uint64(groups))
         order = np.argsort(bucket, kind="stable")
-        a, b, bucket = a[order], b[order], bucket[order]
+        a, b, bucket = (a if linked else rest)[order], b[order], bucket[order].astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket)) + 1
+        blobs = lambda x, width: pa.array([part.tobytes() for part in np.split(_shortened(x, width), cut)] if x.size else [], pa.binary())
         return pa.record_batch(
             {
                 "bucket": pa.array(bucket[np.concatenate([[0], cut])] if a.size else [], pa.int32()),
                 "linked": pa.array([linked] * (cut.size + 1 if a.size else 0), pa.bool_()),
-                "a": pa.array([x.tobytes() for x in np.split(a, cut)] if a.size else [], pa.binary()),
-                "b": pa.array([x.tobytes() for x in np.split(b, cut)] if a.size else [], pa.binary()),
+                "a": blobs(a, name_bytes if linked else key_bytes),
+                "b": blobs(b, name_bytes),
             }
         )
 
@@ -241,10 +271,9 @@ def _links(docs: DataFrame, n: int, t: Fraction, total: int, n_sets: int) -> Dat
     def meet(group: pa.Table) -> pa.Table:
         known = group.filter(group["linked"])
         rest = group.filter(pa.compute.invert(group["linked"]))
-        read = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-        a, b, _, _ = _stars(read(rest, "a", np.uint64), read(rest, "b", np.int64))
-        a, b = np.concatenate([a, read(known, "a", np.int64)]), np.concatenate([b, read(known, "b", np.int64)])
-        return pa.table({"a": a, "b": b})
+        a, b, _, _ = _stars(_read(rest["a"], key_bytes), _read(rest["b"], name_bytes))
+        a, b = np.concatenate([a, _read(known["a"], name_bytes)]), np.concatenate([b, _read(known["b"], name_bytes)])
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     packed = docs.select("text").mapInArrow(run, _LINKS)
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
@@ -278,12 +307,10 @@ def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def _product(group: pa.Table, t: Fraction) -> pa.Table:
-    """Links of a block of rows: each row with the least one it reaches inside the block."""
-    name = group["set"].to_numpy()
+def _alike(name: np.ndarray, parts: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links of some rows: each with the least one that it reaches among them."""
     name, first = np.unique(name, return_index=True)
-    sets = group["members"].combine_chunks().take(pa.array(first)) if name.size else []
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+    parts = [parts[i] for i in first]
     size = np.array([x.size for x in parts], np.int64)
     members, rows = np.concatenate(parts), np.repeat(np.arange(name.size), size)
     order = np.argsort(members, kind="stable")
@@ -297,19 +324,87 @@ def _product(group: pa.Table, t: Fraction) -> pa.Table:
     keep = both * t.denominator >= (size[a] + size[b] - both) * t.numerator
     root = _local_roots(a[keep], b[keep], name.size)
     far = np.flatnonzero(root != np.arange(name.size))
-    return pa.table({"a": name[far], "b": name[root[far]]})
+    return name[far], name[root[far]]
+
+
+#: A block of a cluster: the names of its sets, their sizes and their members. Rows of links have none.
+_BLOCK = {"sets": np.int64, "sizes": np.int64, "members": np.uint64}
+_PRODUCTS = "a long, b long, root long, tier int, own int, sets binary, sizes binary, members binary"
+
+
+def _product(group: pa.Table, t: Fraction) -> pa.Table:
+    """Links inside a block of rows, and the block itself where its cluster has others (``tier`` isn't null)."""
+    name = group["set"].to_numpy()
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"].combine_chunks()]
+    a, b = _alike(name, parts, t)
+    block = {c: [None] * a.size for c in ("root", "tier", "own", *_BLOCK)}
+    a, b = a.tolist(), b.tolist()
+    if group["tier"][0].is_valid:
+        found = {"sets": name, "sizes": np.array([x.size for x in parts]), "members": np.concatenate(parts)}
+        for c in ("root", "tier", "own"):
+            block[c].append(group[c][0].as_py())
+        for c, kind in _BLOCK.items():
+            block[c].append(found[c].astype(kind).tobytes())
+        a.append(None)
+        b.append(None)
+    kinds = {"a": pa.int64(), "b": pa.int64(), "root": pa.int64(), "tier": pa.int32(), "own": pa.int32()}
+    return pa.table({c: pa.array(x, kinds.get(c, pa.binary())) for c, x in ({"a": a, "b": b} | block).items()})
+
+
+def _between(t: Fraction):
+    """Arrow function: pairs of blocks (l_, r_) -> links, as stars over what a task finds."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        name, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _local_roots(place[: a.size], place[a.size :], name.size)
+        far = np.flatnonzero(root != np.arange(name.size))
+        return name[far], name[root[far]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                read = lambda c: np.concatenate([np.frombuffer(batch[f"{s}_{c}"][i].as_buffer(), _BLOCK[c]) for s in "lr"])  # noqa: B023, E731
+                found = _alike(read("sets"), np.split(read("members"), np.cumsum(read("sizes"))[:-1]), t)
+                a.append(found[0])
+                b.append(found[1])
+                if sum(x.size for x in a) > FLUSH_LINKS:
+                    a, b = ([x] for x in stars(np.concatenate(a), np.concatenate(b)))
+                    if a[0].size > FLUSH_LINKS // 2:
+                        yield pa.record_batch({"a": a[0], "b": b[0]})
+                        a, b = [a[0][:0]], [b[0][:0]]
+        found = stars(np.concatenate(a), np.concatenate(b))
+        yield pa.record_batch({"a": found[0], "b": found[1]})
+
+    return run
+
+
+def _block_links(products: DataFrame, t: Fraction) -> DataFrame:
+    """Links between the blocks of a cluster whose sets' sizes allow them; no block is shuffled."""
+    blocks = products.where("members is not null")
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("members")), F.lit(0))).first()
+    links = products.where("members is null").select("a", "b")
+    if n < 2:
+        return links
+    least = math.ceil(math.sqrt(4 * products.sparkSession.sparkContext.defaultParallelism))
+    blocks = blocks.coalesce(min(n, max(math.ceil(size / PRODUCT_BYTES), least)))
+    left, right = (blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("root", "tier", "own", *_BLOCK)]) for s in "lr")
+    met = "l_root = r_root and (l_tier = r_tier and l_own < r_own or l_tier + 1 = r_tier)"
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.expr(met))
+    return links.union(pairs.mapInArrow(_between(t), "a long, b long"))
 
 
 def _member_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(set, members) of the wanted sets; texts that a filter rules out don't leave their task."""
-    seen = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted, "set", hashed=True))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted, "name", hashed=True))
+    last = np.int64((bitmaps.BITS - 1) & ((1 << 8 * NAME_BYTES) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = seen.value
         for batch in batches:
             for _, _, members, offsets in _rows(batch, n):
                 name = _set_hash(members, offsets).view(np.int64)
-                hit = bitmaps.test(bits, name & np.int64(bitmaps.BITS - 1)) & (np.diff(offsets) > 0)
+                hit = bitmaps.test(bits, name & last) & (np.diff(offsets) > 0)
                 _, once = np.unique(name[hit], return_index=True)
                 which = np.flatnonzero(hit)[once]
                 yield pa.record_batch(
@@ -337,18 +432,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> D
     sets = materialize(set_table(docs, n), "shingle-sets")
     total, n_sets = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.approx_count_distinct("set")).first()
     links = materialize(_links(docs, n, t, total, n_sets), "candidate-links")
-    clusters = materialize(components(links).withColumnRenamed("node", "set"), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("k"))
-    blocks = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-    placed = clusters.join(sizes, "root").select("set", "root", blocks.alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.hash("set"), "blocks"))
-    # a row goes to the products of its block with each block of its cluster
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("set", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    lows = F.array(*[F.lit(x[0]).cast("long") for x in size_intervals(t)])
+    tier = F.size(F.filter(lows, lambda low: low <= F.col("n_shingles")))
+    named = sets.where("n_shingles > 0").select("set", short_name("set").alias("name"), tier.alias("tier")).distinct()
+    free_shuffles(docs.sparkSession)
+    linked = materialize(components(links).withColumnRenamed("node", "name"), "clusters")
+    # no link shows candidates that share a short name
+    twins = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.col("name").alias("root"))
+    clusters = linked.union(twins.join(linked, "name", "left_anti"))
+    clustered = materialize(named.join(clusters, "name").select("set", "root", "tier"), "clustered-sets")
+    # a cluster of more rows than a block has is cut into blocks of sets of one size interval
+    sizes = clustered.groupBy("root", "tier").agg(F.count("*").alias("k"))
+    large = sizes.groupBy("root").agg(F.sum("k").alias("whole")).where(F.col("whole") > BLOCK_ROWS).select("root")
+    cut = sizes.join(large, "root").select("root", "tier", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = clustered.join(cut, ["root", "tier"], "left")
+    own = F.coalesce(F.pmod(F.hash("set"), "blocks"), F.lit(0))
+    placed = placed.select("set", "root", F.when(F.col("blocks").isNotNull(), F.col("tier")).alias("tier"), own.alias("own"))
     # equal sets in several tasks give equal rows; one is enough
     rows = _member_sets(docs, clusters, n).groupBy("set").agg(F.any_value("members").alias("members"))
-    blocked = rows.join(placed, "set").groupBy("root", "i", "j")
-    found = components(blocked.applyInArrow(lambda group: _product(group, t), "a long, b long"))
+    blocked = rows.join(placed, "set").groupBy("root", "tier", "own")
+    # A checkpoint is read row by row; a row may be a whole block.
+    products = cut_lineage(blocked.applyInArrow(lambda group: _product(group, t), _PRODUCTS))
+    free_shuffles(docs.sparkSession)
+    found = components(_block_links(products, t))
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     named = classes.join(found.withColumnRenamed("node", "set"), "set", "left")
     named = named.withColumn("root", F.coalesce("root", "set"))
