@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import detect_language, is_blank, normalize, preview, snippet, token_highlight, word_ngrams, word_tokens
 from ticketloom.functions.language import HINGLISH_LEXICON
-from ticketloom.functions.text import NFC_INERT, STOP_WORDS
+from ticketloom.functions.text import NFC_INERT, SPACE_CLASS, SPACES, STOP_WORDS, WORD
 
 
 def run(spark, texts, make):
@@ -36,6 +36,15 @@ def test_normalize_matches_python(spark):
     assert run(spark, TEXTS, normalize) == [python_normalize(t) for t in TEXTS]
 
 
+def test_patterns_name_the_classes_they_stand_for(spark):
+    """Their first parts only save tests: the characters are those of the whole class, one by one."""
+    every = spark.range(1, 0xFFFF).where("id not between 55296 and 57343").select(F.decode(F.expr("unhex(lpad(hex(id), 4, '0'))"), "UTF-16BE").alias("c"))
+    like = lambda p: F.regexp_like("c", F.lit(p))
+    seen = every.select(like(SPACES).alias("space"), like(f"[{SPACE_CLASS}]+").alias("all"), like(WORD.replace("{2,}", "")).alias("word"), like(r"[\p{L}\p{N}_]").alias("any"))
+    assert seen.where("space <> all or word <> any").count() == 0 and seen.where("space").count() == 29
+    assert SPACES.index("&&") < SPACES.index(SPACE_CLASS) and WORD.startswith("[a-z")
+
+
 def test_blank(spark):
     assert run(spark, TEXTS, is_blank) == [not (t or "").strip() for t in TEXTS]
 
